@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from gablestone.llm.bpe import op6_bpe
+from gablestone.llm.decontaminate import op3_decontaminate
 from gablestone.llm.quality_rules import op1_quality_rules
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
+    "op3_decontaminate": op3_decontaminate,
+    "op6_bpe": op6_bpe,
 }
 ORACLE_SQL: dict[str, str] = {}
