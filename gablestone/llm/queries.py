@@ -5,6 +5,7 @@ from __future__ import annotations
 from gablestone.llm.bpe import op6_bpe
 from gablestone.llm.decontaminate import op3_decontaminate
 from gablestone.llm.language_id import language_id_pages, op8_language_id
+from gablestone.llm.near_dups import op9_near_duplicates
 from gablestone.llm.quality_rules import op1_quality_rules
 from gablestone.llm.sharding import op5_sharding
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op5_sharding": op5_sharding,
     "op6_bpe": op6_bpe,
     "op8_language_id": op8_language_id,
+    "op9_near_duplicates": op9_near_duplicates,
     "language_id_pages": language_id_pages,
 }
 ORACLE_SQL: dict[str, str] = {}
