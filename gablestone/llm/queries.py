@@ -6,6 +6,7 @@ from gablestone.llm.bpe import op6_bpe
 from gablestone.llm.decontaminate import op3_decontaminate
 from gablestone.llm.language_id import language_id_pages, op8_language_id
 from gablestone.llm.near_dups import op9_near_duplicates
+from gablestone.llm.quality_classifier import op10_quality_classifier
 from gablestone.llm.quality_rules import op1_quality_rules
 from gablestone.llm.sharding import op5_sharding
 
@@ -16,6 +17,7 @@ QUERIES = {
     "op6_bpe": op6_bpe,
     "op8_language_id": op8_language_id,
     "op9_near_duplicates": op9_near_duplicates,
+    "op10_quality_classifier": op10_quality_classifier,
     "language_id_pages": language_id_pages,
 }
 ORACLE_SQL: dict[str, str] = {}
