@@ -9,10 +9,12 @@ from gablestone.llm.near_dups import op9_near_duplicates
 from gablestone.llm.quality_classifier import op10_quality_classifier
 from gablestone.llm.quality_rules import op1_quality_rules
 from gablestone.llm.sharding import op5_sharding
+from gablestone.llm.wrappers import op4_html_extraction
 
 QUERIES = {
     "op1_quality_rules": op1_quality_rules,
     "op3_decontaminate": op3_decontaminate,
+    "op4_html_extraction": op4_html_extraction,
     "op5_sharding": op5_sharding,
     "op6_bpe": op6_bpe,
     "op8_language_id": op8_language_id,
