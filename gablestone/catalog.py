@@ -2,5 +2,8 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from gablestone.plans import elevation
+
+PLANS = (elevation,)
+QUERIES = {name: q for plan in PLANS for name, q in plan.QUERIES.items()}
+ORACLE_SQL: dict[str, str] = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
