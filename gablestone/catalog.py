@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from gablestone.plans import elevation
+from gablestone.plans import accuracy, elevation, features, mesh, raster
 
-PLANS = (elevation,)
+PLANS = (elevation, accuracy, raster, mesh, features)
 QUERIES = {name: q for plan in PLANS for name, q in plan.QUERIES.items()}
 ORACLE_SQL: dict[str, str] = {name: sql for plan in PLANS for name, sql in plan.SQL.items()}
