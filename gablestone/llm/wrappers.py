@@ -40,6 +40,8 @@ from gablestone.llm.common import Scratch, free_prefix, join_small, read, small_
 #: Widest group that is looked for when repeats are folded, and wrapper nodes aligned at most
 #: before only their common beginning and end are (alignment is quadratic, results stay sound).
 WIDEST, ALIGNED = 12, 600
+#: Depth below which a wrapper takes elements as neighbours.
+DEEPEST = 60
 #: Groups into which the tasks' wrappers of a host are first merged.
 FAN = 64
 
@@ -147,95 +149,76 @@ def stream(page: str | None) -> Iterator[tuple[str, str]]:
 
 
 # --- wrappers -----------------------------------------------------------------
-# A node is ["<" or ">", key], ["#", constant text or None, pages, characters], ["+", nodes] or ["?", nodes].
+# A unit is ["<", key, units] for an element, ["#", constant text or None, pages, characters],
+# or a group of neighbouring units: ["+", units] repeated, ["?", units] optional, ["*", units] both.
 
 
-def key_of(node: list) -> str:
-    kind = node[0]
-    if kind == "#":
-        return "#"
-    if kind in "<>":
-        return kind + node[1]
-    return kind + "(" + " ".join(map(key_of, node[1])) + ")"
+def bare(unit: list) -> str:
+    """What units are aligned by: the element, a text, or what a group holds, without its sign."""
+    return "#" if unit[0] == "#" else unit[1] if unit[0] == "<" else " ".join(map(bare, unit[1]))
+
+
+def signed(optional: bool, repeated: bool) -> str:
+    return "*" if optional and repeated else "?" if optional else "+"
 
 
 def united(a: list, b: list) -> list:
-    """Two nodes of one key as one: texts that differ become a slot."""
-    if a[0] == "#":
+    """Two units of one bare key as one: texts that differ become a slot, contents are aligned."""
+    if a[0] == b[0] == "#":
         return ["#", a[1] if a[1] == b[1] else None, a[2] + b[2], a[3] + b[3]]
-    if a[0] in "<>":
-        return a
-    return [a[0], [united(x, y) for x, y in zip(a[1], b[1])]]
+    if a[0] == b[0] == "<":
+        return ["<", a[1], align(a[2], b[2])]
+    inner = lambda u: u[1] if u[0] in "+?*" else [u]
+    x, y = inner(a), inner(b)
+    if len(x) != len(y):  # a group within a group: its own contents stand for it
+        x, y = (x[0][1] if len(x) == 1 and x[0][0] in "+?*" else x), (y[0][1] if len(y) == 1 and y[0][0] in "+?*" else y)
+    return [signed(a[0] in "?*" or b[0] in "?*", a[0] in "+*" or b[0] in "+*"), [united(p, q) for p, q in zip(x, y)]]
 
 
-def fold(nodes: list) -> list:
+def fold(units: list) -> list:
     """Neighbouring repeats as repeated groups, the narrowest first."""
     width = 1
-    keys = list(map(key_of, nodes))
-    while width <= min(WIDEST, len(nodes)):
-        out, names, i, changed = [], [], 0, False
-        while i < len(nodes):
+    while width <= min(WIDEST, len(units)):
+        keys, out, i, changed = list(map(bare, units)), [], 0, False
+        while i < len(units):
             block = keys[i : i + width]
-            # A group is folded if it is balanced, so that a path stays a path.
-            if len(block) == width and _balanced(block):
-                group, j = None, i + width
-                plus = "+(" + " ".join(block) + ")"
-                if names and names[-1] == plus:
-                    group, j = out[-1][1], i
-                elif keys[j : j + width] == block:
-                    group = nodes[i : i + width]
-                elif keys[j : j + 1] == [plus]:
-                    group = nodes[i : i + width]
-                if group is not None:
-                    while keys[j : j + width] == block or keys[j : j + 1] == [plus]:
-                        more = nodes[j : j + width] if keys[j : j + width] == block else nodes[j][1]
-                        j += width if keys[j : j + width] == block else 1
-                        group = [united(x, y) for x, y in zip(group, more)]
-                    if names and names[-1] == plus:
-                        out[-1] = ["+", group]
-                    else:
-                        out.append(["+", group])
-                        names.append(plus)
-                    changed, i = True, j
-                    continue
-            out.append(nodes[i])
-            names.append(keys[i])
-            i += 1
-        nodes, keys = out, names
+            key, j, parts = " ".join(block), i + width, [units[i : i + width]]
+            while len(block) == width and block != ["#"]:
+                if keys[j : j + width] == block:
+                    parts.append(units[j : j + width])
+                    j += width
+                elif width > 1 and j < len(units) and keys[j] == key and units[j][0] in "+?*":
+                    parts.append(units[j][1])
+                    j += 1
+                else:
+                    break
+            if len(parts) == 1:
+                out.append(units[i])
+                i += 1
+                continue
+            inner = lambda u: u[1] if width == 1 and u[0] in "+?*" else [u]  # noqa: B023, E731
+            group = [v for u in parts[0] for v in inner(u)]
+            for part in parts[1:]:
+                group = [united(x, y) for x, y in zip(group, [v for u in part for v in inner(u)])]
+            out.append([signed(width == 1 and all(q[0][0] in "?*" for q in parts), True), group])
+            changed, i = True, j
+        units = out
         width = 1 if changed and width > 1 else width + 1
-    return nodes
-
-
-@lru_cache(maxsize=50_000)
-def _balance(names: tuple[str, ...]) -> bool:
-    depth = 0
-    for k in names:
-        depth += (k[0] == "<") - (k[0] == ">")
-        if depth < 0:
-            return False
-    return depth == 0
-
-
-def _balanced(names: list[str]) -> bool:
-    return _balance(tuple(names)) and not (len(names) == 1 and names[0][0] in "+?#")
+    return units
 
 
-def _optional(nodes: list) -> list:
-    """Nodes that only one side has; runs that aren't balanced stay groups as they are."""
-    if not nodes:
+def _optional(units: list) -> list:
+    """Units that only one side has, as an optional group."""
+    if not units:
         return []
-    if len(nodes) == 1 and nodes[0][0] == "?":
-        return nodes
-    flat = []
-    for x in nodes:
-        flat += x[1] if x[0] == "?" else [x]
-    return [["?", flat]]
+    if len(units) == 1 and units[0][0] in "+?*":
+        return [[signed(True, units[0][0] in "+*"), units[0][1]]]
+    return [["?", [v for u in units for v in (u[1] if u[0] == "?" else [u])]]]
 
 
 def align(a: list, b: list) -> list:
-    """The expression that covers both."""
-    ka, kb = [key_of(x) for x in a], [key_of(x) for x in b]
-    bare = lambda ks: [k[1:] if k[0] in "+?" else k for k in ks]
+    """The expression that covers both rows of units."""
+    ka, kb = list(map(bare, a)), list(map(bare, b))
     if ka == kb:
         return [united(x, y) for x, y in zip(a, b)]
     if len(a) + len(b) > 2 * ALIGNED:
@@ -243,35 +226,54 @@ def align(a: list, b: list) -> list:
         end = next((i for i, (x, y) in enumerate(zip(ka[top:][::-1], kb[top:][::-1])) if x != y), min(len(ka), len(kb)) - top)
         blocks = [("equal", 0, top, 0, top), ("replace", top, len(a) - end, top, len(b) - end), ("equal", len(a) - end, len(a), len(b) - end, len(b))]
     else:
-        # Groups count as equal whatever their sign: one page's option is another's repeat.
-        blocks = SequenceMatcher(None, bare(ka), bare(kb), autojunk=False).get_opcodes()
+        blocks = SequenceMatcher(None, ka, kb, autojunk=False).get_opcodes()
     out: list = []
     for what, i, j, k, m in blocks:
         if what == "equal":
-            for x, y in zip(a[i:j], b[k:m]):
-                if x[0] == y[0]:
-                    out.append(united(x, y))
-                else:  # (..)? with (..)+ : the repeat may be missing; it is kept as the repeat
-                    out.append(["+", [united(p, q) for p, q in zip(x[1], y[1])]])
-            continue
-        out += _pair_groups(a[i:j], b[k:m])
+            out += [united(x, y) for x, y in zip(a[i:j], b[k:m])]
+        else:
+            out += _mismatch(a[i:j], b[k:m])
     return fold(out)
 
 
-def _pair_groups(x: list, y: list) -> list:
-    """A mismatch: a group met by one plain copy of itself is a repeat, the rest is optional."""
+def _mismatch(x: list, y: list) -> list:
+    """A group met by one plain copy of its contents stays that group; the rest is optional."""
     for one, other in ((x, y), (y, x)):
-        if len(one) == 1 and one[0][0] in "+?" and [key_of(n) for n in other] == [key_of(n) for n in one[0][1]]:
+        if len(one) == 1 and one[0][0] in "+?*" and len(other) > 1 and " ".join(map(bare, other)) == bare(one[0]) and len(other) == len(one[0][1]):
             return [[one[0][0], [united(p, q) for p, q in zip(one[0][1], other)]]]
     return _optional(x) + _optional(y)
 
 
-def page_nodes(page: str | None) -> list:
-    """A page as a stream of nodes; texts are constants until they meet another page's."""
-    out = []
+def page_units(page: str | None) -> tuple[list, list[list], str]:
+    """A page as units, its texts in order, and its shape; texts are constants until they meet others.
+
+    Elements deeper than ``DEEPEST`` are taken as neighbours at that depth.
+    """
+    top: list = []
+    stack, texts, shape = [top], [], []
+    depth = 0
     for kind, value in stream(page):
-        out.append(["#", value.strip()[:64], 1, len(value)] if kind == "#" else [kind, value])
-    return out
+        if kind == "<":
+            unit = ["<", value, []]
+            stack[min(depth, DEEPEST)].append(unit)
+            depth += 1
+            if depth <= DEEPEST:
+                stack.append(unit[2])
+        elif kind == ">":
+            if depth <= DEEPEST:
+                stack.pop()
+            depth -= 1
+        else:
+            texts.append(["#", value.strip()[:64], 1, len(value)])
+            stack[min(depth, DEEPEST)].append(texts[-1])
+            value = ""
+        shape.append(kind + value)
+    return top, texts, "".join(shape)
+
+
+def folded(units: list) -> list:
+    """Repeats folded at every level."""
+    return fold([["<", u[1], folded(u[2])] if u[0] == "<" else u for u in units])
 
 
 class Wrappers:
@@ -279,26 +281,24 @@ class Wrappers:
 
     def __init__(self):
         self.by_host: dict[str, list] = {}
-        self.shapes: dict[str, dict[str, list]] = {}
+        self.shapes: dict[str, dict[str, tuple[list, list[list]]]] = {}
 
     def add_page(self, host: str, page: str | None) -> None:
-        nodes = page_nodes(page)
-        shape = "".join(k + v if k in "<>" else "#" for k, v, *_ in nodes)
+        units, texts, shape = page_units(page)
         seen = self.shapes.setdefault(host, {})
-        if (same := seen.get(shape)) is not None:  # this shape: its texts join, it is aligned once
-            for x, y in zip(same, nodes):
-                if x[0] == "#":
-                    x[1] = x[1] if x[1] == y[1] else None
-                    x[2] += y[2]
-                    x[3] += y[3]
+        if shape in seen:  # this shape is aligned once; its texts join those seen before
+            for x, y in zip(seen[shape][1], texts):
+                x[1] = x[1] if x[1] == y[1] else None
+                x[2] += y[2]
+                x[3] += y[3]
             return
-        seen[shape] = nodes
+        seen[shape] = units, texts
         if len(seen) >= 256:  # what a task holds is bounded by the hosts it meets
             self.settle(host)
 
     def settle(self, host: str) -> None:
-        for nodes in self.shapes.pop(host, {}).values():
-            self.add(host, fold(nodes))
+        for units, _ in self.shapes.pop(host, {}).values():
+            self.add(host, folded(units))
 
     def add(self, host: str, wrapper: list) -> None:
         known = self.by_host.get(host)
@@ -310,28 +310,31 @@ class Wrappers:
         return self.by_host
 
 
-def expression(nodes: list) -> str:
+def expression(units: list) -> str:
     """A wrapper in words."""
-    show = {"<": lambda n: f"<{n[1]}>", ">": lambda n: f"</{n[1].split('.')[0]}>", "#": lambda n: "#" if n[1] is None else repr(n[1]), "+": lambda n: f"({expression(n[1])})+", "?": lambda n: f"({expression(n[1])})?"}
-    return "".join(show[n[0]](n) for n in nodes)
+
+    def show(u: list) -> str:
+        if u[0] == "#":
+            return "#" if u[1] is None else repr(u[1])
+        if u[0] == "<":
+            return f"<{u[1]}>{expression(u[2])}</{u[1].split('.')[0]}>"
+        return f"({expression(u[1])}){u[0]}"
+
+    return "".join(map(show, units))
 
 
 # --- judging slots --------------------------------------------------------------
 
 
-def slots(nodes: list, path: list[str] | None = None) -> Iterator[tuple[tuple[str, ...], list]]:
-    """(path, slot) of all texts; optional groups may open what another closes, so paths are kept sound."""
-    path = [] if path is None else path
-    for n in nodes:
-        if n[0] == "<":
-            path.append(n[1])
-        elif n[0] == ">":
-            if n[1] in path:
-                del path[len(path) - 1 - path[::-1].index(n[1]) :]
-        elif n[0] == "#":
-            yield tuple(path), n
+def slots(units: list, path: tuple[str, ...] = ()) -> Iterator[tuple[tuple[str, ...], list]]:
+    """(path, slot) of all texts."""
+    for u in units:
+        if u[0] == "#":
+            yield path, u
+        elif u[0] == "<":
+            yield from slots(u[2], (*path, u[1]))
         else:
-            yield from slots(n[1], path)
+            yield from slots(u[1], path)
 
 
 def _no_article(key: str, inside: bool) -> bool:
