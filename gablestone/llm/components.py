@@ -44,27 +44,20 @@ def _unite(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield forest()
 
 
-def components(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) for every node of ``links`` (a, b); the component is its smallest node."""
-    spark = links.sparkSession
-    edges = scratch.write(links.where("a != b").mapInArrow(_unite, "a long, b long"), f"{name}-0")
-    i = 0
+    edges = scratch.keep(links.where("a != b").mapInArrow(_unite, "a long, b long"))
     while True:
         # Large star: larger neighbours go to the smallest node around.
-        both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = scratch.write(large.distinct(), f"{name}-large{i}")
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # Small star: smaller neighbours and the node itself go to the smallest of them.
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b != m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(least.select("a", F.col("m").alias("b")))
-        fresh = scratch.write(small.where("a != b").distinct(), f"{name}-{i + 1}")
+        edges = scratch.keep(small.where("a != b").distinct())
         # It is done when every node has one link, to a node without links to smaller ones.
-        open_ = fresh.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() or fresh.join(fresh.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count()
-        scratch.drop(f"{name}-{i}")
-        scratch.drop(f"{name}-large{i}")
-        edges, i = fresh, i + 1
-        if not open_:
+        if not edges.groupBy("a").agg(F.count("*").alias("n")).where("n > 1").limit(1).count() and not edges.join(edges.select(F.col("a").alias("b")), "b", "left_semi").limit(1).count():
             break
     nodes = edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
     return nodes.union(nodes.select(F.col("component").alias("node"), "component").distinct())

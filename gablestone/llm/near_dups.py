@@ -38,8 +38,6 @@ SLOTS, BAND = 160, 5
 THRESHOLD = 80  # percent
 #: Words whose hashes a task remembers, and ids (eight bytes each) that are broadcast, at most.
 MEMORY, BROADCAST_IDS = 1_000_000, 1_000_000
-#: Times that sets still apart in a bucket meet another hub before the exact rest.
-ROUNDS = 1
 #: Bits of a set's parity map: those that differ between two maps are at most as many as the
 #: elements that differ between the sets, so a pair with too many of them can't be linked.
 BITS = 512
@@ -147,7 +145,10 @@ class NearDuplicates:
         self.docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
         sketch = self.docs.select("id", sketcher(size)("t").alias("s")).select("id", "s.*")
         self.sketches = self.scratch.write(sketch, "sketches")
-        self.members = self._group()
+        self.members = self.scratch.write_few(self._group(), "members")
+        self.scratch.release()
+        for name in ("reps", "met", "sets", "shingles", "rarest"):
+            self.scratch.drop(name)
 
     def _group(self) -> DataFrame:
         """(id, component) of every id that is linked with another, or shares its id's rows."""
@@ -161,10 +162,10 @@ class NearDuplicates:
         if several:
             same = sets.groupBy("id").agg(F.count_distinct("set_hash").alias("k")).where("k > 1").select("id")
             held = sets.select("id", "set_hash").join(same, "id").join(reps.select("set_hash", F.col("id").alias("b")), "set_hash").select(F.col("id").alias("a"), "b").where("a != b")
-            return self.scratch.write(components(links.union(copies).union(held), self.scratch, "all"), "members")
-        near = self.scratch.write(components(links, self.scratch, "near"), "near-components")
+            return components(links.union(copies).union(held), self.scratch)
+        near = self.scratch.keep(components(links, self.scratch))
         named = copies.join(near, copies.b == near.node, "left").select(F.col("a").alias("node"), F.coalesce("component", "b").alias("component"))
-        return self.scratch.write(named.union(near), "members")
+        return named.union(near)
 
     def near_links(self, reps: DataFrame) -> DataFrame:
         """Confirmed links (a, b) that connect whatever the threshold connects among candidates."""
@@ -172,32 +173,23 @@ class NearDuplicates:
         rows = reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
         size = rows.groupBy("band").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
         met = scratch.write(rows.join(size, "band"), "met")
-        ids = scratch.write(met.select("id").distinct(), "met-ids")
+        ids = scratch.keep(met.select("id").distinct())
         self.sets = scratch.write(self.sets_of(ids, ids.count()), "sets")
-        links = self.confirm(self._fit(met.select("band", "id", "n", F.lit(None).alias("component"), "hub")), "first")
-        # Buckets of two are settled. In larger ones, sets that are still apart meet other hubs.
-        met = met.where("c > 2").select("band", "id", "n")
-        for r in range(ROUNDS + 1):
-            tied = components(links, scratch, f"tied{r}")
-            now = met.join(tied, met.id == tied.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
-            now = scratch.write(now, f"now{r}")
-            hubs = now.groupBy("band").agg(
-                F.min_by(F.struct("id", "n", "component"), F.xxhash64(F.lit(r), "band", "id")).alias("hub"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi")
-            apart = scratch.write(now.join(hubs.select("band", "hub"), "band"), f"apart{r}")
-            if not apart.limit(1).count():
-                return links
-            if r < ROUNDS:
-                links = links.union(self.confirm(self._fit(apart), f"round{r}"))
-        rest = apart.select("id", "n", "component").distinct()
-        return links.union(self.confirm(self.by_rare_shingles(rest), "rest"))
+        links = self.confirm(self._fit(met))
+        # Buckets of two are settled. In larger ones some sets may still be apart.
+        tied = components(links, scratch)
+        now = met.where("c > 2").join(tied, met.id == tied.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
+        now = scratch.keep(now)
+        apart = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
+        rest = scratch.keep(now.join(apart, "band", "left_semi").select("id", "n", "component").distinct())
+        if not rest.limit(1).count():
+            return links
+        return links.union(self.confirm(self.by_rare_shingles(rest)))
 
     def _fit(self, met: DataFrame) -> DataFrame:
-        """Pairs of a row and its hub that aren't tied yet; only sizes within the threshold can be linked."""
+        """Pairs of a row and its hub; only sizes within the threshold of each other can be linked."""
         near = 100 * F.least("n", "hub.n") >= self.threshold * F.greatest("n", "hub.n")
-        apart = F.col("id") != F.col("hub.id")
-        if "component" in met.select("hub.*").columns:
-            apart = apart & (F.col("component") != F.col("hub.component"))
-        return met.where(near & apart).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
+        return met.where(near & (F.col("id") != F.col("hub.id"))).select(F.least("id", "hub.id").alias("a"), F.greatest("id", "hub.id").alias("b")).distinct()
 
     def by_rare_shingles(self, rest: DataFrame) -> DataFrame:
         """Pairs (a, b) of these sets, of different components, that share one of their rarest shingles.
@@ -208,11 +200,11 @@ class NearDuplicates:
         """
         scratch = self.scratch
         have = self.sets.join(rest, "id").select("id", "n", "component", "bits", F.explode(hash_list("set")).alias("shingle"))
-        have = scratch.write(have, "rest-shingles")
+        have = scratch.write(have, "shingles")
         many = have.groupBy("shingle").agg(F.count("*").alias("df"))
         ranked = have.join(many, "shingle").withColumn("i", F.row_number().over(Window.partitionBy("id", "component").orderBy("df", "shingle")))
         first = ranked.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * self.threshold / 100) + 1) & (F.col("df") > 1))
-        first = scratch.write(first.select("shingle", "id", "n", "component", "bits", "i"), "rest-first")
+        first = scratch.write(first.select("shingle", "id", "n", "component", "bits", "i"), "rarest")
         x, y = first.alias("x"), first.alias("y")
         # Sharing the i-th and the j-th leaves at most so many shingles in common (positional bound).
         least = F.ceil((F.col("x.n") + F.col("y.n")) * self.threshold / (100 + self.threshold))
@@ -227,12 +219,11 @@ class NearDuplicates:
         few = F.broadcast(ids) if n <= BROADCAST_IDS else ids
         return self.docs.join(few, "id", "left_semi").select("id", set_maker(self.size)("t").alias("s")).select("id", "s.*")
 
-    def confirm(self, pairs: DataFrame, name: str) -> DataFrame:
+    def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are as alike as asked for."""
-        pairs = self.scratch.write(pairs, f"pairs-{name}")
         left = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")
         both = left.join(self.sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-        return self.scratch.write(both.where(linker(self.threshold)("x", "y")).select("a", "b").distinct(), f"links-{name}")
+        return self.scratch.keep(both.where(linker(self.threshold)("x", "y")).select("a", "b").distinct())
 
     def result(self) -> DataFrame:
         """(id, n_shingles, component), one row for each row of the table."""
@@ -243,11 +234,11 @@ class NearDuplicates:
         """The rows of docs that stand for their group: the smallest key's, once."""
         p = free_prefix(docs)
         gone = self.members.where("node != component").select(F.col("node").alias(f"{p}id"))
-        gone = self.scratch.write(gone, "gone")
+        gone = self.scratch.write_few(gone, "gone")
         few = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
         out = docs.join(few, F.col(key).cast("long") == F.col(f"{p}id"), "left_anti")
         again = self.sketches.where("id is not null").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("id").alias(f"{p}id"))
-        again = self.scratch.write(again, "again")
+        again = self.scratch.write_few(again, "again")
         n = again.count()
         if not n:
             return out
