@@ -31,8 +31,8 @@ from pyspark.sql import types as T
 
 from gablestone.llm.common import read, small_batches
 
-#: Pieces of text remembered by a task, at most.
-MEMORY = 400_000
+#: Pieces of text, and pairs of tokens, that a process remembers in each of two generations.
+MEMORY = 100_000
 #: How texts are cut before merging (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -57,12 +57,21 @@ class Memory(dict):
     """Pieces and their token ids as little-endian bytes."""
 
     def __init__(self, encode):
-        self.encode = encode
+        self.encode, self.old = encode, {}
 
     def __missing__(self, piece: str) -> bytes:
-        out = self[piece] = np.array(self.encode(piece.encode("utf-8")), "<u4").tobytes()
+        out = self.old.get(piece)
+        if out is None:
+            out = np.array(self.encode(piece.encode("utf-8")), "<u4").tobytes()
+        self[piece] = out
         return out
 
+    def age(self) -> None:
+        """Forget what hasn't been met since this was last called."""
+        if len(self) > MEMORY:
+            self.old = dict(self)
+            self.clear()
+
 
 class Codec:
     def __init__(self, path: str):
@@ -130,7 +139,7 @@ class Codec:
                 limit, x = (rank[x], 0), self.parts[x][1]
             else:
                 limit, y = (rank[y], 1), self.parts[y][0]
-        if len(self.compatible) > 4 * MEMORY:
+        if len(self.compatible) > MEMORY:
             self.compatible.clear()
         self.compatible[a, b] = out
         return out
@@ -179,8 +188,7 @@ class Codec:
         """Token ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        if len(self.memory) > MEMORY:
-            self.memory.clear()
+        self.memory.age()
         get = self.memory.__getitem__
         if not any(s in text for s in self.special):
             return b"".join(map(get, self.cut(text)))
