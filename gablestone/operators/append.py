@@ -32,9 +32,9 @@ def append(target: DataFrame, predicted: DataFrame, key: str = "fid", read_only:
 
 def counted(result: DataFrame, target: DataFrame, predicted: DataFrame) -> DataFrame:
     """One row: whether the result has as many rows as its parts."""
-    n = lambda df, c: df.agg(F.count("*").alias(c))
-    # One row each.
-    row = n(result, "total").join(n(target, "existing"), F.lit(True)).join(n(predicted, "added"), F.lit(True))
+    names = ("total", "existing", "added")
+    one = lambda df, c: df.agg(F.count("*").alias("n")).select(*[(F.col("n") if c == x else F.lit(0).cast("long")).alias(x) for x in names])
+    row = one(result, "total").union(one(target, "existing")).union(one(predicted, "added")).agg(*[F.sum(x).alias(x) for x in names])
     return row.withColumn("complete", F.col("total") == F.col("existing") + F.col("added"))
 
 

@@ -87,9 +87,8 @@ def normalised_intensity(i: Column, most: float = 60_000.0) -> Column:
 
 def scaled(points: DataFrame, units: DataFrame) -> DataFrame:
     """points in metres: XY by the factor of the horizontal unit, Z by that of the vertical one."""
-    u = F.broadcast(units.limit(1000))  # a table of units: a handful of rows
-    xy = u.select(F.col("unit").alias("xy_unit"), F.col("metres").alias("_xy"))
-    z = u.select(F.col("unit").alias("z_unit"), F.col("metres").alias("_z"))
+    xy = units.select(F.col("unit").alias("xy_unit"), F.col("metres").alias("_xy"))
+    z = units.select(F.col("unit").alias("z_unit"), F.col("metres").alias("_z"))
     out = points.join(xy, "xy_unit").join(z, "z_unit")
     return out.withColumn("x", F.col("x") * F.col("_xy")).withColumn("y", F.col("y") * F.col("_xy")).withColumn("z", F.col("z") * F.col("_z")).drop("_xy", "_z")
 

@@ -35,9 +35,9 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 10.
 
 def candidates(inside: DataFrame, above: float = ABOVE, least: int = LEAST) -> DataFrame:
     """Points at least ``above`` over the lowest of their footprint, where it has enough points."""
-    w = Window.partitionBy("fid")
-    found = inside.where(finite("x", "y", "z")).withColumn("_low", F.min("z").over(w)).withColumn("_n", F.count("*").over(w))
-    return found.where((F.col("_n") >= least) & (F.col("z") >= F.col("_low") + above)).drop("_low", "_n")
+    good = inside.where(finite("x", "y", "z"))
+    low = good.groupBy("fid").agg(F.min("z").alias("_low"), F.count("*").alias("_n")).where(F.col("_n") >= least).select("fid", "_low")
+    return good.join(low, "fid").where(F.col("z") >= F.col("_low") + above).drop("_low")
 
 
 def neighbours(queries: DataFrame, inside: DataFrame, radius: float = 1.0, most: int | None = MOST) -> DataFrame:

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gablestone.operators import fitting as fit
+from gablestone.session import durable
 
 RINGS = "array<array<struct<x: double, y: double>>>"
 _POINT = pa.struct([("x", pa.float64()), ("y", pa.float64())])
@@ -78,13 +79,13 @@ def neighbourhoods(polygons: DataFrame, slack: float, most: int = 50) -> DataFra
     checkpoints. ``most`` only guards against an endless loop and raises.
     """
     pairs = neighbour_pairs(polygons, slack)
-    both = pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))).checkpoint()
+    both = durable(pairs.union(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"))))
     now = polygons.select("fid", F.col("fid").alias("group"))
     for _ in range(most):
         seen = both.join(now, both.b == now.fid).groupBy("a").agg(F.min("group").alias("m"))
         step = now.join(seen, now.fid == seen.a, "left").select("fid", "group", F.least("group", F.coalesce("m", "group")).alias("next"))
         jump = step.select(F.col("fid").alias("to"), F.col("next").alias("there"))
-        fresh = step.join(jump, F.col("next") == F.col("to")).select("fid", "group", F.least("next", "there").alias("next")).checkpoint()
+        fresh = durable(step.join(jump, F.col("next") == F.col("to")).select("fid", "group", F.least("next", "there").alias("next")))
         if not fresh.where("group <> next").limit(1).count():
             return fresh.select("fid", "group")
         now = fresh.select("fid", F.col("next").alias("group"))

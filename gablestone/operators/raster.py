@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from gablestone.session import durable
+
 
 def grids(points: DataFrame, r: float = 0.5, by: str = "fid") -> DataFrame:
     """(by, x0, ytop, width, height) of the grid over each key's points; rows go down from ytop."""
@@ -111,11 +113,11 @@ def touches_edge(boxes: DataFrame, grids_: DataFrame, r: float = 0.5, by: str =
 def numbered(df: DataFrame, *order: str, name: str = "bldg_id") -> DataFrame:
     """df with ids from 1 in the given order.
 
-    Ranges of the order are counted first and numbered apart, so no task sorts all rows.
+    Ranges of the order are numbered apart and then moved by the rows before them, so no
+    task sorts all rows; the ranges are made durable, since they are read twice.
     """
-    parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id())
-    # The partition of a row follows from the range boundaries, so the ids are written in one go.
-    w = Window.partitionBy("_p").orderBy(*order)
-    inner = parts.withColumn("_i", F.row_number().over(w))
-    sizes = inner.groupBy("_p").agg(F.max("_i").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    parts = durable(df.repartitionByRange(*[F.col(c) for c in order]).withColumn("_p", F.spark_partition_id()))
+    inner = parts.withColumn("_i", F.row_number().over(Window.partitionBy("_p").orderBy(*order)))
+    # One row a range: as many as there are partitions.
+    sizes = parts.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_b", F.coalesce(F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return inner.join(sizes.select("_p", "_b"), "_p").withColumn(name, F.col("_b") + F.col("_i")).drop("_p", "_b", "_i")

@@ -8,7 +8,9 @@ from gablestone.operators import raster as op
 from gablestone.sources.derived import BUILDINGS, POINTS, buildings, points
 
 R, SIDE, HALO, CLOSE = 0.5, 8, 1.0, 1.0
-ROOF = F.col("z") > 102
+
+def _roof():
+    return F.col("z") > 102
 
 
 def _cells(spark, sf):
@@ -22,7 +24,7 @@ def grid_layout(spark, sf):
 
 
 def grid_mask(spark, sf):
-    return op.mask(_cells(spark, sf)[1], ROOF).withColumn("mask", F.col("mask").cast("int"))
+    return op.mask(_cells(spark, sf)[1], _roof()).withColumn("mask", F.col("mask").cast("int"))
 
 
 def tile_layout(spark, sf):
@@ -33,7 +35,7 @@ def tile_layout(spark, sf):
 def _stats(spark, sf):
     g, c = _cells(spark, sf)
     t = op.tiles(g, SIDE)
-    return op.tile_stats(op.tile_points(c, t, op.tile_bounds(t, g, R), SIDE, R, HALO), ROOF)
+    return op.tile_stats(op.tile_points(c, t, op.tile_bounds(t, g, R), SIDE, R, HALO), _roof())
 
 
 def tile_halo_counts(spark, sf):
@@ -46,7 +48,7 @@ def coverage_check(spark, sf):
 
 def mask_closing(spark, sf):
     g, c = _cells(spark, sf)
-    return op.closing(op.mask(c.where(ROOF & (F.col("point_seq") % 7 == 0)), F.lit(True)), g, CLOSE, R)
+    return op.closing(op.mask(c.where(_roof() & (F.col("point_seq") % 7 == 0)), F.lit(True)), g, CLOSE, R)
 
 
 def edge_flags(spark, sf):

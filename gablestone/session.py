@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
@@ -20,3 +20,19 @@ def session(master: str | None = None, shuffle_partitions: int | None = None, **
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return b.getOrCreate()
+
+
+def durable(df: DataFrame) -> DataFrame:
+    """df computed once and cut off from what made it, in the cluster's checkpoint folder.
+
+    A local folder is set only where the session names none, as in tests.
+    """
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        named = sc.getConf().get("spark.checkpoint.dir")
+        if not named:
+            import tempfile
+
+            named = tempfile.mkdtemp(prefix="gablestone-")
+        sc.setCheckpointDir(named)
+    return df.checkpoint()
