@@ -27,32 +27,40 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gablestone.llm.common import Scratch, read, small_batches
-from gablestone.llm.textstats import ratio, text_stats
+from gablestone.llm.textstats import text_stats
 
 #: Weight of the pooled covariance in each class's own, and of the identity in both.
 POOL, IDENTITY = 0.1, 0.02
 CUT = 0.3
+#: Words of plain prose that each text is taken with.
+PSEUDO = 10.0
 #: Folds of crc32 of the id; rows of fold 0 are held out.
 FOLDS = 5
 
 
 def features(s: str = "s") -> list[Column]:
-    """Transformed statistics: logarithms of counts, square roots of shares."""
+    """Transformed statistics: logarithms of counts, square roots of shares.
+
+    A share of a text with few words says little, so each is taken as if ``PSEUDO`` words of
+    plain prose stood before the text.
+    """
     c = lambda name: F.col(f"{s}.{name}")
-    share = lambda a, b: F.sqrt(ratio(a, b))
+    leaning = lambda a, b, usual, weight=PSEUDO: (a + usual * weight) / (b + weight)
+    share = lambda *x: F.sqrt(leaning(*x))
+    words, chars, lines = c("n_words"), c("word_chars"), c("n_lines")
     return [
-        F.log1p(c("n_words")),
-        ratio(c("word_chars"), c("n_words")),
-        F.least(share(c("n_symbols"), c("n_words")), F.lit(2.0)),
-        share(c("n_dup_lines"), c("n_lines")),
-        share(c("n_repeat_words"), c("n_words")),
-        share(c("n_upper"), c("n_upper") + c("n_lower")),
-        share(c("n_digits"), c("word_chars")),
-        share(c("n_marks"), c("word_chars")),
-        share(c("n_distinct_words"), c("n_words")),
-        share(c("n_capital_words"), c("n_words")),
-        share(c("n_ends"), c("n_words")),
-        F.log1p(ratio(c("n_words"), c("n_lines"))),
+        F.log1p(F.greatest(words, F.lit(PSEUDO))),
+        leaning(chars, words, 5.0),
+        F.least(share(c("n_symbols"), words, 0.0), F.lit(2.0)),
+        share(c("n_dup_lines"), lines, 0.0, PSEUDO),
+        share(c("n_repeat_words"), words, 0.0),
+        share(c("n_upper"), c("n_upper") + c("n_lower"), 0.03, 5.0 * PSEUDO),
+        share(c("n_digits"), chars, 0.0, 5.0 * PSEUDO),
+        share(c("n_marks"), chars, 0.03, 5.0 * PSEUDO),
+        share(c("n_distinct_words"), words, 0.8),
+        share(c("n_capital_words"), words, 0.12),
+        share(c("n_ends"), words, 0.1),
+        F.log1p(leaning(words, lines, 30.0, 1.0)),
     ]
 
 
