@@ -62,15 +62,12 @@ def neighbours(queries: DataFrame, inside: DataFrame, radius: float = 1.0, most:
 def normals(near: DataFrame, least: int = LEAST) -> DataFrame:
     """(fid, q, qz, n, nz) of query points with enough neighbours; nz is |nz| of the unit normal.
 
-    Sums of products are taken about the neighbours' mean: first means, then products.
+    The normal doesn't depend on the sums' common factor, so covariances stand for them:
+    plain aggregates, on the partitioning that the neighbours already have.
     """
-    pts = F.collect_list(F.struct("x", "y", "z"))
-    grouped = near.groupBy("fid", "q", "qz").agg(pts.alias("p"), F.avg("x").alias("mx"), F.avg("y").alias("my"), F.avg("z").alias("mz")).where(F.size("p") >= least)
-    at = lambda v, c: v[c] - F.col("m" + c)
-    total = lambda a, b: F.aggregate("p", F.lit(0.0), lambda s, v: s + at(v, a) * at(v, b))
-    sums = {a + b: total(a, b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
-    out = grouped.select("fid", "q", "qz", F.size("p").cast("long").alias("n"), *[v.alias(k) for k, v in sums.items()])
-    return out.select("fid", "q", "qz", "n", plane_normal_z(*[F.col(k) for k in ("xx", "xy", "xz", "yy", "yz", "zz")]).alias("nz"))
+    sums = {a + b: F.covar_pop(a, b) for a, b in ("xx", "xy", "xz", "yy", "yz", "zz")}
+    grouped = near.groupBy("fid", "q", "qz").agg(F.count("*").alias("n"), *[v.alias(k) for k, v in sums.items()]).where(F.col("n") >= least)
+    return grouped.select("fid", "q", "qz", "n", plane_normal_z(*map(F.col, sums)).alias("nz"))
 
 
 def roof_elevation(points: DataFrame, rectangles: DataFrame, flat: float = FLAT) -> DataFrame:
