@@ -219,3 +219,86 @@ def roof_prism(rectangles: DataFrame, roof: Column, eave: Column, ridge: Column)
     faces = F.when(F.col("roof").isin("Gabled", "Hipped"), along).when(F.col("roof") == "Apex", apex).otherwise(flat)
     return r.select("fid", F.posexplode(faces).alias("tid", "f")).select("fid", F.col("tid").cast("long").alias("tid"), *[F.col("f")[i][k].alias(f"{v}{k}") for i, v in enumerate("abc") for k in "xyz"])
 
+
+
+def split_by_line(polygons: DataFrame) -> DataFrame:
+    """(fid, part, ring, area_m2): shells cut along the line (lx0, ly0)-(lx1, ly1) of their row.
+
+    A line that doesn't cross a shell exactly twice leaves it whole; parts copy nothing but fid,
+    so attributes are joined back and heights computed anew for each part.
+    """
+    part = pa.struct([("part", pa.int64()), ("ring", _RING), ("area_m2", pa.float64())])
+
+    @F.arrow_udf("array<struct<part: long, ring: array<struct<x: double, y: double>>, area_m2: double>>")
+    def cut(rings: pa.Array, x0: pa.Array, y0: pa.Array, x1: pa.Array, y1: pa.Array) -> pa.Array:
+        out = []
+        for r, a, b, c, d in zip(*(v.to_pylist() for v in (rings, x0, y0, x1, y1))):
+            parts = fit.split(to_arrays(r)[0], np.array([a, b], float), np.array([c, d], float))
+            out.append([{"part": k, "ring": from_arrays([p])[0], "area_m2": abs(fit.area2(p)) / 2} for k, p in enumerate(parts, 1)])
+        return pa.array(out, pa.list_(part))
+
+    return polygons.select("fid", F.explode(cut("rings", "lx0", "ly0", "lx1", "ly1")).alias("p")).select("fid", "p.*")
+
+
+def snapped(polygons: DataFrame, fixed: DataFrame, threshold: float, by_edges: bool = False) -> DataFrame:
+    """(fid, ring): shells with vertices moved to the fixed polygons near them, tried in order of fid.
+
+    Neighbours come from the grid join on bounds; a polygon without any stays as it is.
+    """
+    both = polygons.select(F.struct(F.lit(0).alias("s"), "fid").alias("fid"), "rings").union(fixed.select(F.struct(F.lit(1).alias("s"), "fid").alias("fid"), "rings"))
+    pairs = neighbour_pairs(both, threshold).where("a.s = 0 and b.s = 1").select(F.col("a.fid").alias("fid"), F.col("b.fid").alias("other"))
+    near = pairs.join(fixed.select(F.col("fid").alias("other"), F.col("rings").alias("o")), "other").groupBy("fid").agg(F.array_sort(F.collect_list(F.struct("other", "o"))).alias("near"))
+
+    @F.arrow_udf("array<struct<x: double, y: double>>")
+    def snap(rings: pa.Array, others: pa.Array) -> pa.Array:
+        out = []
+        for r, near_ in zip(rings.to_pylist(), others.to_pylist()):
+            ring, around = to_arrays(r)[0], [to_arrays(o["o"])[0] for o in near_ or []]
+            if by_edges:
+                for o in around:
+                    ring = fit.snap_edges(ring, o, threshold)
+            elif around:
+                ring = fit.snap_vertices(ring, around, threshold)
+            out.append(from_arrays([ring])[0])
+        return pa.array(out, _RING)
+
+    return polygons.select("fid", "rings").join(near, "fid", "left").select("fid", snap("rings", "near").alias("ring"))
+
+
+def covered_segments(segments: DataFrame, share: float = 0.5) -> DataFrame:
+    """(fid, segment) whose hull lies for more than the share below hulls of clearly higher segments.
+
+    ``segments`` has fid, segment, min_z, max_z and the points' hull as ``ring``; those of one
+    building make a group.
+    """
+
+    def one(t: pa.Table) -> pa.Table:
+        rows = t.to_pylist()
+        hulls_ = [to_arrays([r["ring"]])[0][:-1] for r in rows]
+        gone = []
+        for k, r in enumerate(rows):
+            above = [hulls_[j] for j, o in enumerate(rows) if o["min_z"] > r["max_z"] + 0.5 and len(hulls_[j]) > 2 and len(hulls_[k]) > 2 and fit.boxes_meet(hulls_[k], hulls_[j], 0.0)]
+            if len(hulls_[k]) > 2 and fit.covered(hulls_[k], above, share):
+                gone.append({"fid": r["fid"], "segment": r["segment"]})
+        return pa.Table.from_pylist(gone, pa.schema([("fid", pa.int64()), ("segment", pa.int64())]))
+
+    return segments.select("fid", "segment", "min_z", "max_z", "ring").groupBy("fid").applyInArrow(one, "fid long, segment long")
+
+
+def evaluated(points: DataFrame, triangles: DataFrame, tolerance: float = 0.20) -> DataFrame:
+    """(fid, n, mae, rmse, inlier_pct): a building's roof points against its surfaces.
+
+    Planes are segmented, near-vertical ones and those mostly covered by clearly higher ones
+    dropped, the samples matched by exact coordinates, and distances measured.
+    """
+    from gablestone.operators import accuracy
+
+    seg = durable(plane_segments(points).where("segment is not null and normal_z >= 0.20"))
+    have = points.select("fid", "point_seq", "x", "y", "z").join(seg.select("fid", "point_seq", "segment"), ["fid", "point_seq"])
+    keyed = have.withColumn("key", F.struct("fid", "segment"))
+    shape = keyed.groupBy("key").agg(F.min("z").alias("min_z"), F.max("z").alias("max_z"))
+    ids = have.select("fid", "segment").distinct().withColumn("id", F.xxhash64("fid", "segment"))
+    ring = hulls(have.withColumn("id", F.xxhash64("fid", "segment")), "id").select("id", "ring")
+    segments = ids.join(ring, "id").join(shape.select(F.col("key.fid").alias("fid"), F.col("key.segment").alias("segment"), "min_z", "max_z"), ["fid", "segment"])
+    kept = have.join(covered_segments(segments), ["fid", "segment"], "left_anti")
+    return accuracy.metrics(accuracy.surface_distance(accuracy.roof_samples(points, kept), triangles), tolerance)

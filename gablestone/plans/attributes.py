@@ -167,8 +167,8 @@ SQL = {
     "string_rules": f"WITH c AS (SELECT c_custkey, rtrim(trim({_PICK('c_custkey', ' https://h.example/api// ', 'http://u@h/x', 'ftp://h', 'https://h/p?q=1', 'http://h')}), '/') AS base, c_custkey AS k FROM customer) SELECT c_custkey, base, regexp_full_match(base, 'https?://[^/?#@\\s]+(?:/[^?#\\s]*)?') AS valid, k % 6 IN (0, 1, 4) AS accepted, CASE k % 4 WHEN 0 THEN 55 WHEN 2 THEN 100 WHEN 3 THEN 99 END AS percent, k % 3 = 0 AS uuid FROM c",
     "json_progress": "SELECT event_id, greatest(0, least(100, 2 * CAST(json_extract_string(props, '$.k') AS INTEGER))) AS percent FROM events",
     "unit_scaling": f"WITH u(unit, m) AS (VALUES ('metre', 1.0::DOUBLE), ('foot', 0.3048::DOUBLE), ('kilometre', 1000.0::DOUBLE)), p AS (SELECT *, {_PICK('p_partkey', 'metre', 'foot', 'kilometre')} AS a, {_PICK('(p_partkey + 1)', 'metre', 'foot', 'kilometre')} AS b FROM part) SELECT p_partkey, round(p_size * ua.m, 6) AS x, round(p_size * ua.m, 6) AS y, round(p_retailprice * ub.m, 6) AS z FROM p JOIN u ua ON ua.unit = a JOIN u ub ON ub.unit = b",
-    "octree_nodes": "SELECT n_nationkey % 5 + 1 AS depth, n_nationkey * 2 + (k & 1) AS x, n_nationkey * 4 + ((k >> 1) & 1) AS y, 2 + ((k >> 2) & 1) AS z FROM nation, range(0, 8) AS r(k)",
-    "ramp_stops": "SELECT i, round(lo + (hi - lo) * i / 15, 6) AS stop FROM (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), range(0, 16) AS r(i)",
+    "octree_nodes": "SELECT n_nationkey % 5 + 1 AS depth, CAST(n_nationkey * 2 + (k & 1) AS INTEGER) AS x, CAST(n_nationkey * 4 + ((k >> 1) & 1) AS INTEGER) AS y, CAST(2 + ((k >> 2) & 1) AS INTEGER) AS z FROM nation, range(0, 8) AS r(k)",
+    "ramp_stops": "SELECT CAST(i AS INTEGER) AS i, round(lo + (hi - lo) * i / 15, 6) AS stop FROM (SELECT min(p_retailprice) AS lo, max(p_retailprice) AS hi FROM part), range(0, 16) AS r(i)",
     "append_with_schema": f"{_APPEND} SELECT * FROM t UNION ALL SELECT * FROM n",
     "append_check": "SELECT (SELECT count(*) FROM part) + (SELECT count(*) FROM supplier) AS total, (SELECT count(*) FROM part) AS existing, (SELECT count(*) FROM supplier) AS added, true AS complete",
     "pending_tiles": "SELECT DISTINCT l_suppkey % 64 AS tile_id, l_linenumber AS layer FROM lineitem WHERE l_suppkey % 64 % 3 <> 0 AND l_linenumber <> 2",

@@ -106,7 +106,7 @@ SQL = {
     "shoelace_area": f"WITH {PLACED} SELECT fid, (x1 - fid % 10 - x0) * (y1 - y0) AS area_m2, true AS ccw, CAST(4 AS BIGINT) AS vertices FROM placed",
     "large_footprints": f"WITH {PLACED} SELECT fid FROM placed WHERE CAST(fid % 10 AS DOUBLE) * 8 >= 20",
     "side_view": f"WITH {PLACED} SELECT fid, round(min(vx*cos({_T}) + vy*sin({_T})), 6) AS lo, round(max(vx*cos({_T}) + vy*sin({_T})), 6) AS hi FROM {_V} GROUP BY fid",
-    "ring_edits": f"WITH {PLACED} SELECT fid, CASE fid % 4 WHEN 0 THEN 80 - 4 - 10 WHEN 1 THEN 80 + 4 - 10 WHEN 2 THEN 80 + 4 + 10 ELSE 80 - 4 + 10 END + 0.0 AS moved_area, 80.0 AS added_area, 40.0 AS deleted_area, 40.0 AS kept_area, CAST(4 AS BIGINT) AS moved_n, CAST(5 AS BIGINT) AS added_n, CAST(3 AS BIGINT) AS deleted_n, CAST(3 AS BIGINT) AS kept_n FROM placed",
+    "ring_edits": f"WITH {PLACED} SELECT fid, (CASE fid % 4 WHEN 0 THEN 80 - 4 - 10 WHEN 1 THEN 80 + 4 - 10 WHEN 2 THEN 80 + 4 + 10 ELSE 80 - 4 + 10 END)::DOUBLE AS moved_area, 80.0::DOUBLE AS added_area, 40.0::DOUBLE AS deleted_area, 40.0::DOUBLE AS kept_area, CAST(4 AS BIGINT) AS moved_n, CAST(5 AS BIGINT) AS added_n, CAST(3 AS BIGINT) AS deleted_n, CAST(3 AS BIGINT) AS kept_n FROM placed",
     "height_steps": f"WITH {PLACED} SELECT fid, {_STEP(0.1)} AS fine, {_STEP(1.0)} AS normal, {_STEP(5.0)} AS coarse FROM placed",
     "overlaid_heights": f"WITH {PLACED} SELECT fid, CASE WHEN fid % 4 = 1 THEN 7.5 ELSE height END AS height FROM placed",
     "cell_edits": f"WITH {PLACED} SELECT fid, CASE fid % 3 WHEN 0 THEN 12.5 WHEN 1 THEN 0.0 ELSE CAST(fid AS DOUBLE) END AS height FROM placed",

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gablestone.operators import mesh, polygons as op, raster
 from gablestone.operators.attributes import TYPES
-from gablestone.sources.derived import PLACED, points, placed, rings
+from gablestone.sources.derived import PLACED, POINTS, placed, points, rings
 
 R = 0.5
 
@@ -67,6 +67,28 @@ def roof_surfaces(spark, sf):
     return flat.groupBy("fid").agg(F.count("*").alias("n"), F.round(F.sum(area), 6).alias("plan_m2"), F.round(F.min("nz"), 6).alias("min_nz"))
 
 
+def split_footprints(spark, sf):
+    """Footprints cut from below the lower left third to above the upper right one."""
+    b = rings(placed(spark, sf)).select("fid", F.array("ring").alias("rings"), (F.col("x0") + 3).alias("lx0"), F.col("y0").alias("ly0"), (F.col("x0") + 6).alias("lx1"), F.col("y1").alias("ly1"))
+    return op.split_by_line(b).groupBy("fid").agg(F.count("*").alias("parts"), F.round(F.sum("area_m2"), 6).alias("area_m2"), F.round(F.min("area_m2"), 6).alias("least_m2"))
+
+
+def snapped_footprints(spark, sf):
+    """Copies of footprints, a little off, snapped back to the originals."""
+    b = placed(spark, sf)
+    as_rings = lambda df: rings(df).select("fid", F.array("ring").alias("rings"))
+    off = b.withColumn("x0", F.col("x0") + 0.2).withColumn("y1", F.col("y1") - F.lit(0.3))
+    out = op.snapped(as_rings(off), as_rings(b), 0.5)
+    return out.select("fid", F.element_at("ring", 1)["x"].alias("x"), F.element_at("ring", 4)["y"].alias("y"))
+
+
+def accuracy_evaluation(spark, sf):
+    from gablestone.plans.accuracy import _triangles
+
+    out = op.evaluated(points(spark, sf), _triangles(spark, sf))
+    return out.select("fid", "n", *[F.round(c, 4).alias(c) for c in ("mae", "rmse", "inlier_pct")])
+
+
 def mask_cells(spark, sf):
     """What polygonizing must preserve: the area of each mask."""
     p = points(spark, sf)
@@ -74,8 +96,11 @@ def mask_cells(spark, sf):
     return m.groupBy("fid").agg(F.round(F.count("*") * F.lit(R * R), 6).alias("area_m2"))
 
 
-QUERIES = {f.__name__: f for f in (convex_hulls, fitted_footprints, polygonized_masks, footprint_overlaps, ear_triangles, roof_segments, roof_surfaces)}
+QUERIES = {f.__name__: f for f in (convex_hulls, fitted_footprints, polygonized_masks, footprint_overlaps, ear_triangles, roof_segments, roof_surfaces, split_footprints, snapped_footprints, accuracy_evaluation, mask_cells)}
 SQL = {
     "footprint_overlaps": f"WITH {PLACED}, w AS (SELECT fid, x0, y0, x1 + 7 AS x1, y1 + 9 AS y1 FROM placed) SELECT a.fid AS a, b.fid AS b, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS area_m2 FROM w a JOIN w b ON a.fid < b.fid AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)",
-    "roof_surfaces": f"WITH {PLACED} SELECT fid, CAST(CASE fid % 9 WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 4 THEN 4 ELSE 2 END AS BIGINT) AS n, 80.0 AS plan_m2, CASE fid % 9 WHEN 1 THEN 0.0 WHEN 2 THEN 0.8 WHEN 4 THEN 0.8 ELSE 1.0 END AS min_nz FROM placed",
+    "split_footprints": f"WITH {PLACED} SELECT fid, CAST(2 AS BIGINT) AS parts, 80.0::DOUBLE AS area_m2, 36.0::DOUBLE AS least_m2 FROM placed",
+    "snapped_footprints": f"WITH {PLACED} SELECT fid, x0 AS x, y1 AS y FROM placed",
+    "mask_cells": f"WITH {POINTS}, b AS (SELECT fid, floor(min(x)/0.5)*0.5 AS x0, ceil(max(y)/0.5)*0.5 AS ytop FROM points GROUP BY fid), c AS (SELECT DISTINCT p.fid, floor((ytop-y)/0.5) AS r, floor((x-x0)/0.5) AS c FROM points p JOIN b USING (fid) WHERE z > 102) SELECT fid, round(count(*) * 0.25::DOUBLE, 6) AS area_m2 FROM c GROUP BY fid",
+    "roof_surfaces": f"WITH {PLACED} SELECT fid, CAST(CASE fid % 9 WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 4 THEN 4 ELSE 2 END AS BIGINT) AS n, 80.0::DOUBLE AS plan_m2, (CASE fid % 9 WHEN 1 THEN 0.0 WHEN 2 THEN 0.8 WHEN 4 THEN 0.8 ELSE 1.0 END)::DOUBLE AS min_nz FROM placed",
 }

@@ -40,4 +40,4 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_beyond_it():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"convex_hulls", "fitted_footprints", "polygonized_masks", "ear_triangles", "roof_segments"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"convex_hulls", "fitted_footprints", "polygonized_masks", "ear_triangles", "roof_segments", "accuracy_evaluation"}
