@@ -26,7 +26,7 @@ from gablestone.llm.common import Scratch, free_prefix, read
 
 SHARDS = 16
 #: Rows that a bin holds on average.
-BIN_ROWS = 4_000
+BIN_ROWS = 500
 
 
 def _offsets(counts: DataFrame, by: list[str], bin_: str, n: str, p: str) -> DataFrame:
