@@ -30,7 +30,7 @@ from gablestone.llm.common import free_prefix, read, small_batches
 
 WINDOW = 10
 #: Windows that a task holds at once, at most.
-BLOCK_WINDOWS = 500_000
+BLOCK_WINDOWS = 100_000
 #: Lower-cases A-Z; every other ASCII character that is no digit or letter parts words.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 
