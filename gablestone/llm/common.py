@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handed to Python at once. Texts may be long, so batches are short.
-BATCH_ROWS = 1000
+BATCH_ROWS = 500
 #: Largest number of rows that is broadcast after it has been counted.
 BROADCAST_ROWS = 20_000
 

@@ -37,7 +37,7 @@ from gablestone.llm.superminhash import bands, mix, signatures
 SLOTS, BAND = 160, 5
 THRESHOLD = 80  # percent
 #: Words whose hashes a task remembers, and ids (eight bytes each) that are broadcast, at most.
-MEMORY, BROADCAST_IDS = 1_000_000, 1_000_000
+MEMORY, BROADCAST_IDS = 200_000, 1_000_000
 #: Bits of a set's parity map: those that differ between two maps are at most as many as the
 #: elements that differ between the sets, so a pair with too many of them can't be linked.
 BITS = 512
@@ -172,7 +172,8 @@ class NearDuplicates:
         scratch = self.scratch
         rows = reps.select("id", F.col("n_shingles").alias("n"), F.explode("bands").alias("band"))
         size = rows.groupBy("band").agg(F.min(F.struct("id", "n")).alias("hub"), F.count("*").alias("c")).where("c > 1")
-        met = scratch.write(rows.join(size, "band"), "met")
+        # Written first, so that the join reads two plain inputs, which Spark can split where a bucket is hot.
+        met = scratch.write(rows.join(scratch.keep(size), "band"), "met")
         ids = scratch.keep(met.select("id").distinct())
         self.sets = scratch.write(self.sets_of(ids, ids.count()), "sets")
         links = self.confirm(self._fit(met))
@@ -181,7 +182,7 @@ class NearDuplicates:
         now = met.where("c > 2").join(tied, met.id == tied.node, "left").select("band", "id", "n", F.coalesce("component", "id").alias("component"))
         now = scratch.keep(now)
         apart = now.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band")
-        rest = scratch.keep(now.join(apart, "band", "left_semi").select("id", "n", "component").distinct())
+        rest = scratch.keep(now.join(scratch.keep(apart), "band", "left_semi").select("id", "n", "component").distinct())
         if not rest.limit(1).count():
             return links
         return links.union(self.confirm(self.by_rare_shingles(rest)))
