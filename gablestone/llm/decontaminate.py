@@ -197,7 +197,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str =
         F.col(f"{p}n.n_words").alias("n_words"), F.coalesce(F.col(f"{m}.starts"), none("int")).alias("starts"),
         F.coalesce(F.col(f"{m}.ends"), none("int")).alias("ends"), F.coalesce(F.col(f"{m}.items"), none("string")).alias("items"),
     )
-    return joined.withColumn(out, hit).select(*docs.columns, out)
+    return joined.withColumn(out, hit).select(*[c for c in docs.columns if c != out], out)
 
 
 def n_hit(hits: str = "hits"):

@@ -21,7 +21,6 @@ from __future__ import annotations
 import gzip
 import io
 from collections.abc import Iterator
-from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession

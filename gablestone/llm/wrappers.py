@@ -424,7 +424,6 @@ def main_text(page: str | None, judge: Judge) -> str:
 
 # --- Spark ----------------------------------------------------------------------
 
-JUDGES: dict[str | None, Judge] = {}
 PARTIAL = "host string, part int, wrapper string"
 
 
