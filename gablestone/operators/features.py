@@ -120,3 +120,39 @@ def toggled(selected: DataFrame, clicked: DataFrame) -> DataFrame:
 def upserted(saved: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
     """saved with the fresh rows in place of those of the same keys; an explicit None stays as a row."""
     return saved.join(fresh.select(*keys), keys, "left_anti").unionByName(fresh)
+
+
+def ring_neighbours(footprints: DataFrame) -> DataFrame:
+    """(fid, i, x, y, px, py, nx, ny, weight): vertices with the one before and after them around
+    the closed ring, and half of the lengths of the two walls that meet there."""
+    n = F.size("ring") - 1
+    at = lambda i: F.element_at(F.col("ring"), F.pmod(i, n) + 1)
+    v = footprints.where(n > 0).select("fid", "ring", F.explode(F.sequence(F.lit(0), n - 1)).alias("i"))
+    i = F.col("i")
+    before, here, after = at(i - 1), at(i), at(i + 1)
+    length = lambda a, b: F.hypot(a["x"] - b["x"], a["y"] - b["y"])
+    return v.select("fid", "i", here["x"].alias("x"), here["y"].alias("y"), before["x"].alias("px"), before["y"].alias("py"), after["x"].alias("nx"), after["y"].alias("ny"), ((length(before, here) + length(here, after)) / 2).alias("weight"))
+
+
+def line_fits(points: DataFrame, by: str = "fid") -> DataFrame:
+    """(by, cx, cy, angle, residual, span): the total-least-squares line through each key's points.
+
+    Centre and direction are plain aggregates; a second one over the points gives the largest
+    distance from the line and the extent along it.
+    """
+    c = points.groupBy(by).agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), F.covar_pop("x", "x").alias("xx"), F.covar_pop("x", "y").alias("xy"), F.covar_pop("y", "y").alias("yy"))
+    c = c.select(by, "cx", "cy", (0.5 * F.atan2(2 * F.col("xy"), F.col("xx") - F.col("yy"))).alias("angle"))
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    along, off = dx * F.cos("angle") + dy * F.sin("angle"), F.abs(dy * F.cos("angle") - dx * F.sin("angle"))
+    return points.join(c, by).groupBy(by, "cx", "cy", "angle").agg(F.max(off).alias("residual"), (F.max(along) - F.min(along)).alias("span"))
+
+
+def first_edge(queries: DataFrame, footprints: DataFrame, tolerance: float) -> DataFrame:
+    """(qid, fid, edge, d): the first edge, in order of fid and number, within the tolerance of each query."""
+    edges = ring_neighbours(footprints).select("fid", "i", "x", "y", "nx", "ny")
+    boxes = edges.select(F.struct("fid", "i").alias("fid"), F.least("x", "nx").alias("x0"), F.greatest("x", "nx").alias("x1"), F.least("y", "ny").alias("y0"), F.greatest("y", "ny").alias("y1"), "x", "y", "nx", "ny")
+    ex, ey = F.col("nx") - F.col("x"), F.col("ny") - F.col("y")
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), ((F.col("qx") - F.col("x")) * ex + (F.col("qy") - F.col("y")) * ey) / (ex * ex + ey * ey)))
+    d = F.hypot(F.col("qx") - F.col("x") - t * ex, F.col("qy") - F.col("y") - t * ey)
+    best = near_boxes(queries, boxes, tolerance).withColumn("d", d).where(F.col("d") < tolerance).groupBy("qid").agg(F.min(F.struct("fid", "d")).alias("b"))
+    return best.select("qid", "b.fid.fid", F.col("b.fid.i").alias("edge"), "b.d")

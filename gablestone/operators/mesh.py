@@ -105,3 +105,12 @@ def preview_vertices(triangles: DataFrame) -> DataFrame:
 def replaced(derived: DataFrame, fresh: DataFrame, key: str = "fid") -> DataFrame:
     """Derived rows with those of the fresh features' keys replaced."""
     return derived.join(fresh.select(key).distinct(), key, "left_anti").unionByName(fresh)
+
+
+def wireframe(edges_: DataFrame, least: float = 0.86, most: int = 650, most_vertical: int = 12) -> DataFrame:
+    """The sharp edges of each building, thinned evenly: verticals to so many, the others to so many."""
+    end = lambda i: F.element_at(F.split("edge", r"\|"), i)
+    xy = lambda i: F.substring_index(end(i), ",", 2)
+    e = sharp(edges_, least).withColumn("vertical", xy(1) == xy(2))
+    thin = lambda vertical, n: strided(e.where(F.col("vertical") == vertical), n, ["fid"], ["edge"])
+    return thin(True, most_vertical).unionByName(thin(False, most))

@@ -44,16 +44,27 @@ def restarted_jobs(spark, sf):
     return last.select("job_id", after.alias("state"))
 
 
+def poll_outcomes(spark, sf):
+    e = _events(spark, sf).withColumn("state", F.when(F.col("event_id") % 17 == 0, "lost").otherwise(F.col("state")))
+    return e.select("event_id", op.client_outcome(F.col("state")).alias("outcome"))
+
+
+def coalesced_updates(spark, sf):
+    return op.coalesced(_events(spark, sf), "event_type", 60_000).select("event_type", "slot", "n")
+
+
 _E = "WITH e AS (SELECT event_id, ts, user_id AS job_id, event_type, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATE.items()) + " END AS state FROM events)"
 _LAST = f"{_E}, l AS (SELECT job_id, state, ts FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS i FROM e) WHERE i = 1)"
 _LEGAL = " OR ".join(f"(before = '{a}' AND state = '{b}')" for a, bs in op.NEXT.items() for b in bs)
 
-QUERIES = {f.__name__: f for f in (latest_job_state, job_transitions, progress_throttle, debounced_updates, signal_counts, restarted_jobs)}
+QUERIES = {f.__name__: f for f in (latest_job_state, job_transitions, progress_throttle, debounced_updates, signal_counts, restarted_jobs, poll_outcomes, coalesced_updates)}
 SQL = {
     "latest_job_state": f"{_LAST} SELECT job_id, state, ts FROM l",
     "job_transitions": f"{_E}, t AS (SELECT *, lag(state) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM e) SELECT coalesce(before, '-') AS before, state, coalesce({_LEGAL}, false) OR (before IS NULL AND state = 'uploading') AS legal, count(*) AS n FROM t GROUP BY ALL",
     "progress_throttle": f"{_E}, t AS (SELECT *, row_number() OVER (PARTITION BY job_id, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS i FROM e) SELECT event_id, job_id, state FROM t WHERE i = 1 OR state IN ('completed', 'failed', 'interrupted')",
     "debounced_updates": f"{_E}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM g) SELECT job_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM r GROUP BY job_id, run",
     "signal_counts": "SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS n FROM events GROUP BY ALL",
+    "poll_outcomes": f"{_E} SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'error' WHEN state = 'completed' THEN 'done' WHEN state IN ('queued', 'running') THEN 'wait' ELSE 'error' END AS outcome FROM e",
+    "coalesced_updates": "SELECT event_type, epoch_us(ts) // 60000000 AS slot, count(*) AS n FROM events GROUP BY ALL",
     "restarted_jobs": f"{_LAST} SELECT job_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM l",
 }

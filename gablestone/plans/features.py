@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gablestone.operators import features as op
-from gablestone.sources.derived import CLICKS, PLACED, clicks, placed, rings
+from gablestone.sources.derived import CLICKS, PLACED, POINTS, clicks, placed, points, rings
 
 
 def nearest_feature(spark, sf):
@@ -20,6 +20,19 @@ def nearest_vertex(spark, sf):
     return op.nearest_vertex(clicks(spark, sf), placed(spark, sf)).select("qid", "fid", "vid", F.round("d", 6).alias("d"))
 
 
+def first_edge(spark, sf):
+    return op.first_edge(clicks(spark, sf), rings(placed(spark, sf)), 2.0).select("qid", "fid", "edge", F.round("d", 6).alias("d"))
+
+
+def ring_neighbours(spark, sf):
+    return op.ring_neighbours(rings(placed(spark, sf)))
+
+
+def line_fits(spark, sf):
+    out = op.line_fits(points(spark, sf))
+    return out.select("fid", *[F.round(c, 5).alias(c) for c in ("cx", "cy", "angle", "residual", "span")])
+
+
 def box_scan(spark, sf):
     return op.in_box(placed(spark, sf), 30.0, 5.0, 200.0, 40.0).select("fid", "height")
 
@@ -97,11 +110,14 @@ _T = "radians((((fid % 7 * 60 - 30) % 360) + 360) % 360)"
 _V = "(SELECT fid, unnest([x0, x1, x1, x0]) AS vx, unnest([y0, y0, y1, y1]) AS vy FROM placed)"
 _STEP = lambda s: f"round(greatest(0.0, least(50.0, coalesce(height, 0.0) + trunc((fid % 9 - 4) * 100 / 120.0) * {s})), 6)"
 
-QUERIES = {f.__name__: f for f in (nearest_feature, nearest_building, nearest_vertex, box_scan, shoelace_area, large_footprints, side_view, ring_edits, height_steps, overlaid_heights, cell_edits, deleted_features, selection_toggle, selection_union, mean_height, saved_roofs)}
+QUERIES = {f.__name__: f for f in (nearest_feature, nearest_building, nearest_vertex, first_edge, ring_neighbours, line_fits, box_scan, shoelace_area, large_footprints, side_view, ring_edits, height_steps, overlaid_heights, cell_edits, deleted_features, selection_toggle, selection_union, mean_height, saved_roofs)}
 SQL = {
     "nearest_feature": f"{_NEAR} SELECT qid, fid, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, fid) AS i FROM met WHERE d < 5) WHERE i = 1",
     "nearest_building": f"{_NEAR} SELECT qid, fid, d = 0 AS inside, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d > 0, d, fid) AS i FROM met WHERE d <= 5) WHERE i = 1",
     "nearest_vertex": f"{_NEAR}, v AS (SELECT qid, qx, qy, fid, unnest([0, 1, 2, 3]) AS vid, unnest([x0, x1, x1, x0]) AS vx, unnest([y0, y0, y1, y1]) AS vy FROM met), w AS (SELECT *, sqrt(pow(qx-vx, 2) + pow(qy-vy, 2)) AS d FROM v) SELECT qid, fid, vid, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY d, fid DESC, vid DESC) AS i FROM w WHERE d <= 5) WHERE i = 1",
+    "first_edge": f"{_NEAR}, e AS (SELECT qid, qx, qy, fid, unnest([0, 1, 2, 3]) AS edge, unnest([x0, x1, x1, x0]) AS ax, unnest([y0, y0, y1, y1]) AS ay, unnest([x1, x1, x0, x0]) AS bx, unnest([y0, y1, y1, y0]) AS b_y FROM met), w AS (SELECT *, sqrt(pow(greatest(least(ax, bx) - qx, 0.0, qx - greatest(ax, bx)), 2) + pow(greatest(least(ay, b_y) - qy, 0.0, qy - greatest(ay, b_y)), 2)) AS d FROM e) SELECT qid, fid, edge, round(d, 6) AS d FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY fid, edge) AS i FROM w WHERE d < 2) WHERE i = 1",
+    "ring_neighbours": f"WITH {PLACED}, v AS (SELECT fid, unnest([0, 1, 2, 3]) AS i, unnest([x0, x1, x1, x0]) AS x, unnest([y0, y0, y1, y1]) AS y, unnest([x0, x0, x1, x1]) AS px, unnest([y1, y0, y0, y1]) AS py, unnest([x1, x1, x0, x0]) AS nx, unnest([y0, y1, y1, y0]) AS ny FROM placed) SELECT *, CAST(9 AS DOUBLE) AS weight FROM v",
+    "line_fits": f"WITH {POINTS}, c AS (SELECT fid, avg(x) AS cx, avg(y) AS cy, 0.5 * atan2(2 * covar_pop(x, y), var_pop(x) - var_pop(y)) AS angle FROM points GROUP BY fid) SELECT fid, round(cx, 5) AS cx, round(cy, 5) AS cy, round(angle, 5) AS angle, round(max(abs((y-cy)*cos(angle) - (x-cx)*sin(angle))), 5) AS residual, round(max((x-cx)*cos(angle) + (y-cy)*sin(angle)) - min((x-cx)*cos(angle) + (y-cy)*sin(angle)), 5) AS span FROM points JOIN c USING (fid) GROUP BY fid, cx, cy, angle",
     "box_scan": f"WITH {PLACED} SELECT fid, height FROM placed WHERE x0 <= 200 AND x1 >= 30 AND y0 <= 40 AND y1 >= 5",
     "shoelace_area": f"WITH {PLACED} SELECT fid, (x1 - fid % 10 - x0) * (y1 - y0) AS area_m2, true AS ccw, CAST(4 AS BIGINT) AS vertices FROM placed",
     "large_footprints": f"WITH {PLACED} SELECT fid FROM placed WHERE CAST(fid % 10 AS DOUBLE) * 8 >= 20",

@@ -44,6 +44,17 @@ def transitions(events: DataFrame, key: str, state: str, order: list[str]) -> Da
     return events.withColumn("before", F.lag(state).over(w)).withColumn("legal", F.coalesce(may_follow(F.col("before"), F.col(state)), F.lit(False)))
 
 
+def client_outcome(state: Column) -> Column:
+    """What a polling client makes of a state: done, wait, or an error; unknown states are errors."""
+    return F.when(state == "completed", "done").when(state.isin("queued", "running"), "wait").otherwise("error")
+
+
+def coalesced(events: DataFrame, key: str, milliseconds: int = 33, ts: str = "ts") -> DataFrame:
+    """(key, slot, n, last): the changes of a key that one update handles, by tumbling slots."""
+    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (milliseconds * 1000))
+    return events.groupBy(key, slot.alias("slot")).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
+
+
 def throttled(events: DataFrame, key: str, seconds: int = 1, ts: str = "ts", order: str = "event_id", final: Column | None = None) -> DataFrame:
     """At most the first event of a key in each slot of so many seconds, and all final ones."""
     slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
