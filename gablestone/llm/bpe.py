@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -31,8 +32,8 @@ from pyspark.sql import types as T
 
 from gablestone.llm.common import read, small_batches
 
-#: Pieces of text, and pairs of tokens, that a process remembers in each of two generations.
-MEMORY = 100_000
+#: Pieces of text that a process remembers in each of two generations; and pairs of tokens.
+MEMORY, PAIRS = 150_000, 400_000
 #: How texts are cut before merging (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -62,7 +63,8 @@ class Memory(dict):
     def __missing__(self, piece: str) -> bytes:
         out = self.old.get(piece)
         if out is None:
-            out = np.array(self.encode(piece.encode("utf-8")), "<u4").tobytes()
+            ids = self.encode(piece.encode("utf-8"))
+            out = struct.pack(f"<{len(ids)}I", *ids)
         self[piece] = out
         return out
 
@@ -98,13 +100,15 @@ class Codec:
             if t not in self.parts:
                 self.parts[t] = self.id_of[a], self.id_of[b]
                 self.rank[t] = r
-        self.length = {i: len(b) for i, b in tokens.items()}
-        self.shorter = {i: next((self.id_of[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in self.id_of), -1) for i, b in tokens.items()}
+        self.length, self.shorter = [0] * self.n, [-1] * self.n
+        for i, b in tokens.items():
+            self.length[i] = len(b)
+            self.shorter[i] = next((self.id_of[b[:k]] for k in range(len(b) - 1, 0, -1) if b[:k] in self.id_of), -1)
         self.trie = ahocorasick.Automaton()
         for i, b in tokens.items():
             self.trie.add_word(b.decode("latin-1"), i)
         self.trie.make_automaton()
-        self.compatible: dict[tuple[int, int], bool] = {}
+        self.compatible: dict[int, bool] = {}
         every = tokens | {i: s.encode() for s, i in self.special.items()}
         sizes = [len(every.get(i, b"")) for i in range(self.n)]
         self.offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
@@ -123,8 +127,6 @@ class Codec:
         parts at the boundary could have merged earlier than what was taken apart, then
         they would have.
         """
-        if (known := self.compatible.get((a, b))) is not None:
-            return known
         x, y, rank = a, b, self.rank
         limit = (1 << 40, 0)  # merges at the boundary must come before this (rank, side)
         out = None
@@ -139,26 +141,31 @@ class Codec:
                 limit, x = (rank[x], 0), self.parts[x][1]
             else:
                 limit, y = (rank[y], 1), self.parts[y][0]
-        if len(self.compatible) > MEMORY:
+        if len(self.compatible) > PAIRS:
             self.compatible.clear()
-        self.compatible[a, b] = out
+        self.compatible[a * self.n + b] = out
         return out
 
     def encode_piece(self, piece: bytes) -> list[int]:
-        n = len(piece)
+        n, size = len(piece), self.n
+        length, shorter, known = self.length, self.shorter, self.compatible.get
         longest = [-1] * n
         for end, token in self.trie.iter(piece.decode("latin-1")):
-            longest[end + 1 - self.length[token]] = token  # longer matches of a start come later
+            longest[end + 1 - length[token]] = token  # longer matches of a start come later
         out: list[int] = []
         alive = bytearray(b"\1") * (n + 1)
         at, token = 0, longest[0] if n else -1
         while at < n:
             last = out[-1] if out else -1
             while token >= 0:
-                end = at + self.length[token]
-                if alive[end] and (last < 0 or self.stays(last, token)):
-                    break
-                token = self.shorter[token]
+                end = at + length[token]
+                if alive[end]:
+                    if last < 0:
+                        break
+                    stays = known(last * size + token)
+                    if self.stays(last, token) if stays is None else stays:
+                        break
+                token = shorter[token]
             if token >= 0:
                 out.append(token)
                 at = end
@@ -168,7 +175,7 @@ class Codec:
                     raise ValueError("a byte has no token")
                 alive[at] = 0
                 out.pop()
-                at -= self.length[last]
+                at -= length[last]
                 token = last  # its end is dead now, so a shorter one is taken
         return out
 
