@@ -2,10 +2,11 @@
 
 Sentences with a word that licences use are joined with their neighbours into candidate
 blocks. A block is compressed alone and with each template as a raw zstandard dictionary;
-the templates are ranked by how much smaller the block gets. The best are then compared
-word by word: a template is confirmed if nearly all of its words occur in the block in
-order, and the words that are missing or added are reported. Numbers are compared apart, so
-that one template serves all versions of a licence and the version is read from the block.
+the templates are ranked by how much smaller the block gets. The rank drops none: all whose
+words occur in the block often enough, in whatever order, are compared word by word. A
+template is confirmed at every place where its words follow each other in order with few
+missing or added, and those are reported. Numbers are compared apart, so that one template
+serves all versions of a licence and the version is read from the block.
 
 Texts are scanned whole, in place: no shuffle, and a task holds one text at a time.
 
@@ -17,10 +18,11 @@ repeated rows are scanned one by one; other columns pass through.
 from __future__ import annotations
 
 import re
+from bisect import bisect
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,9 +30,10 @@ from pyspark.sql import types as T
 
 from gablestone.llm.common import read, small_batches
 
-#: Templates that are compared word by word for each block, share of a template's words that
-#: must be found, and least share by which the dictionary must shrink the block.
-BEST, FOUND, SHRUNK = 4, 0.85, 0.2
+#: Words that are missing or added may be so many less than all of a template's words.
+FOUND = 0.85
+#: Sign of a word that a place has taken, and what passing it costs: more than any template has words.
+TAKEN, WALL = -2, 1 << 20
 
 # Wordings of public licences and of the notices that point to them.
 TEMPLATES: dict[str, tuple[str, ...]] = {
@@ -93,6 +96,49 @@ def blocks(text: str | None) -> list[tuple[int, int]]:
     return out
 
 
+def bare(ws: list[str]) -> list[str]:
+    """The words, with one sign for all numbers."""
+    return ["0" if w[0].isdigit() else w for w in ws]
+
+
+def _next_row(above: np.ndarray, want: int, block: np.ndarray, steps: np.ndarray) -> np.ndarray:
+    """Fewest missing and added words up to each place of the block, with one more word of a template."""
+    row = above + 1
+    row[1:] = np.minimum(row[1:], np.where(block == want, above[:-1], row[1:]))
+    # A word of the block that is passed over costs one; a taken word can't be passed.
+    return np.minimum.accumulate(row - steps) + steps
+
+
+def _steps(block: np.ndarray) -> np.ndarray:
+    return np.concatenate([[0], np.cumsum(np.where(block == TAKEN, WALL, 1))])
+
+
+def last_row(want: np.ndarray, block: np.ndarray) -> np.ndarray:
+    """Fewest missing and added words of the whole template in a span that ends at each place of the block."""
+    row, steps = np.zeros(len(block) + 1, np.int64), _steps(block)
+    for w in want:
+        row = _next_row(row, w, block, steps)
+    return row
+
+
+def alignment(want: np.ndarray, block: np.ndarray) -> list[tuple[int, int]]:
+    """Pairs of equal places in a template and in the span that ends with the block and differs least."""
+    steps = _steps(block)
+    rows = [np.zeros(len(block) + 1, np.int64)]
+    for w in want:
+        rows.append(_next_row(rows[-1], w, block, steps))
+    i, j, pairs = len(want), len(block), []
+    while i and j:
+        if want[i - 1] == block[j - 1] and rows[i][j] == rows[i - 1][j - 1]:
+            i, j = i - 1, j - 1
+            pairs.append((i, j))
+        elif rows[i][j] == rows[i - 1][j] + 1:
+            i -= 1
+        else:
+            j -= 1
+    return pairs[::-1]
+
+
 class Scanner:
     def __init__(self, templates: dict[str, tuple[str, ...]], level: int = 3):
         import zstandard
@@ -104,6 +150,11 @@ class Scanner:
             d = zstandard.ZstdCompressionDict(t.lower().encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=False, write_checksum=False))
         self.words = [words(t) for _, t in self.templates]
+        self.vocabulary = {w: k for k, w in enumerate(sorted({w for ws in self.words for w in bare(ws)}))}
+        self.ids = [np.array([self.vocabulary[w] for w in bare(ws)], np.int64) for ws in self.words]
+        self.counts = np.array([np.bincount(t, minlength=len(self.vocabulary)) for t in self.ids])
+        self.sizes = np.array([len(t) for t in self.ids])
+        self.allowed = np.floor((1 - FOUND) * self.sizes + 1e-9).astype(np.int64)
 
     def ranked(self, block: str) -> list[tuple[float, int]]:
         """Share of its compressed size that a block loses by each template, largest first."""
@@ -112,22 +163,31 @@ class Scanner:
         cut = [((size - len(c.compress(raw))) / size, i) for i, c in enumerate(self.given)]
         return sorted(cut, key=lambda x: (-x[0], x[1]))
 
-    def confirm(self, block: list[str], i: int) -> tuple[str, list[str], list[str], range] | None:
-        """Name with the version found, missing and added words, and the place in the block."""
-        want = self.words[i]
-        bare = lambda ws: ["0" if w[0].isdigit() else w for w in ws]
-        same = [b for b in SequenceMatcher(None, bare(want), bare(block), autojunk=False).get_matching_blocks() if b.size]
-        found = sum(b.size for b in same)
-        if not same or found < FOUND * len(want):
-            return None
-        version = next((block[b.b + k] for b in same for k in range(b.size) if want[b.a + k][0].isdigit()), "")
-        hit_a = {b.a + k for b in same for k in range(b.size)}
-        hit_b = {b.b + k for b in same for k in range(b.size)}
-        inside = range(same[0].b, same[-1].b + same[-1].size)
-        missing, added = [w for k, w in enumerate(want) if k not in hit_a], [block[k] for k in inside if k not in hit_b]
-        if len(missing) + len(added) > (1 - FOUND) * len(want):
-            return None
-        return self.templates[i][0] + (f"-{version}" if version else ""), missing, added, inside
+    def possible(self, block: list[str]) -> list[int]:
+        """Templates of which so many words occur in the block, in any order, that they could be confirmed."""
+        ids = np.array([self.vocabulary[w] for w in bare(block) if w in self.vocabulary], np.int64)
+        shared = np.minimum(self.counts, np.bincount(ids, minlength=len(self.vocabulary))).sum(1)
+        return np.flatnonzero((shared >= self.sizes - self.allowed) & (self.sizes > 0)).tolist()
+
+    def places(self, block: list[str], i: int) -> list[tuple[str, list[str], list[str], range]]:
+        """Name with the version found, missing and added words, and the span, of all separate places of a template."""
+        want, most = self.words[i], int(self.allowed[i])
+        reach, out = len(want) + most, []
+        words_ = np.array([self.vocabulary.get(w, -1) for w in bare(block)], np.int64)
+        ends = last_row(self.ids[i], words_)
+        while ends[j := int(ends.argmin())] <= most:
+            low = max(0, j - reach)
+            pairs = alignment(self.ids[i], words_[low:j])
+            hit_a, hit_b = {a for a, _ in pairs}, {low + b for _, b in pairs}
+            place = range(min(hit_b), max(hit_b) + 1)
+            version = next((block[low + b] for a, b in pairs if want[a][0].isdigit()), "")
+            out.append((self.templates[i][0] + (f"-{version}" if version else ""), [w for k, w in enumerate(want) if k not in hit_a], [block[k] for k in place if k not in hit_b], place))
+            # No place may reach over a word that is taken: the ends near it are counted anew behind it.
+            words_[place.start : place.stop] = TAKEN
+            far = min(len(words_), place.stop + reach)
+            begin = max(0, place.start - reach)
+            ends[place.start + 1 : far + 1] = last_row(self.ids[i], words_[begin:far])[place.start + 1 - begin :]
+        return out
 
     def scan(self, text: str | None) -> list[tuple]:
         """(start, end, licence or None, reduction, missing, added) of every candidate block."""
@@ -135,16 +195,18 @@ class Scanner:
         for a, b in blocks(text):
             block = text[a:b]
             w = words(block)
-            ranked = [(cut, i) for cut, i in self.ranked(block) if cut >= SHRUNK][:BEST]
-            confirmed = [(cut, c) for cut, i in ranked if (c := self.confirm(w, i))]
+            ranked = self.ranked(block)
+            able = set(self.possible(w))
+            confirmed = [(cut, c) for cut, i in ranked if i in able for c in self.places(w, i)]
             taken: list[range] = []
             # Where two wordings claim the same words, the one that differs least has them.
             for cut, (name, missing, added, place) in sorted(confirmed, key=lambda x: (len(x[1][1]) + len(x[1][2]), -len(x[1][3]), x[1][0])):
-                if all(place.stop <= t.start or place.start >= t.stop for t in taken):
-                    taken.append(place)
+                k = bisect(taken, place.start, key=lambda t: t.start)
+                if (not k or taken[k - 1].stop <= place.start) and (k == len(taken) or taken[k].start >= place.stop):
+                    taken.insert(k, place)
                     out.append((a, b, name, round(cut, 4), missing, added))
             if not taken:
-                out.append((a, b, None, round(ranked[0][0], 4) if ranked else 0.0, [], []))
+                out.append((a, b, None, round(max(0.0, ranked[0][0]), 4) if ranked else 0.0, [], []))
         return out
 
 

@@ -198,6 +198,21 @@ def test_licences_are_found_with_their_version_and_differences():
     assert one("") == one(None) == one("no such words") == []
 
 
+def test_licences_hidden_by_their_neighbours():
+    s = licenses.default_scanner()
+    one = lambda t: [x[2:3] + x[4:] for x in s.scan(t)]
+    assert one("Copyright 2021 Example Corp and the contributors to this project. Released under the MIT License.") == [("MIT", [], [])]
+    notices = ["Released under the MIT License.", "Licensed under CC BY 4.0.", "Released under the BSD License.", "This work is licensed under the GNU General Public License, version 3.", "Licensed under the Apache License, Version 2.0.", "This Source Code Form is subject to the terms of the Mozilla Public License, v2.0."]
+    names = ["Apache-2.0", "BSD", "CC-BY-4.0", "GPL-3", "MIT", "MPL-2.0"]
+    got = sorted(x[2] for x in s.scan(" ".join(notices)))
+    assert got == names
+    # Every place of a template counts, each with its version.
+    assert sorted(x[2] for x in s.scan("Licensed under CC BY 4.0. Licensed under CC BY 3.0. " * 2)) == ["CC-BY-3.0"] * 2 + ["CC-BY-4.0"] * 2
+    # A stray word of the template before its place is no part of it.
+    mit = licenses.TEMPLATES["MIT"][1]
+    assert one("Permission notice: " + mit.removeprefix("Permission ")) == [("MIT", ["permission"], [])]
+
+
 def test_licence_edges(spark):
     out = licenses.scan(odd(spark), out="found")
     assert out.count() == len(ODD) and out.where(F.size("found") > 0).count() == 0
