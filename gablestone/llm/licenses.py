@@ -1,7 +1,7 @@
 """License scans by conditional compression.
 
 Sentences with a word that licences use are joined with their neighbours into candidate
-blocks. A block is compressed alone and with each template as a raw zstandard dictionary;
+blocks, over the newlines of wrapped text and over blank lines. A block is compressed alone and with each template as a raw zstandard dictionary;
 the templates are ranked by how much smaller the block gets. The rank drops none: all whose
 words occur in the block often enough, in whatever order, are compared word by word. A
 template is confirmed at every place where its words follow each other in order with few
@@ -21,6 +21,7 @@ import re
 from bisect import bisect
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -64,8 +65,9 @@ TEMPLATES: dict[str, tuple[str, ...]] = {
     "MPL": ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "SPDX-License-Identifier: MPL-2.0"),
     "Unlicense": ("This is free and unencumbered software released into the public domain.",),
 }
-TRIGGER = re.compile(r"licen[sc]|copyright|permission|warrant|spdx|redistribut|public domain|\bCC[ -]BY|free software", re.I)
-SENTENCE = re.compile(r"[^\n]*?(?:[.!?;:](?=\s)|\n|\Z)", re.S)
+TRIGGER = re.compile(r"licen[sc]|copyright|permission|warrant|spdx|redistribut|public[\W_]+domain|\bCC[\s-]+BY|free[\W_]+software", re.I)
+#: Ends of sentences. A single newline is white space, as licences come in wrapped lines.
+END = re.compile(r"[.!?;:](?=\s)|\n[^\S\n]*\n\s*")
 WORD = re.compile(r"[a-z]+|[0-9]+(?:\.[0-9]+)*")
 
 FOUND_TYPE = T.StructType([
@@ -79,20 +81,26 @@ def words(text: str) -> list[str]:
 
 
 def blocks(text: str | None) -> list[tuple[int, int]]:
-    """Spans of neighbouring sentences that use words of licences, without their outer white space."""
+    """Spans of sentences that use words of licences, with one more on each side, without their outer white space.
+
+    Spans that touch are one: so it goes on over one or two other sentences in between.
+    """
     out: list[tuple[int, int]] = []
     if not text or not TRIGGER.search(text):
         return out
-    for m in SENTENCE.finditer(text):
-        a, b = m.span()
-        if a == b or not TRIGGER.search(m[0]):
-            continue
-        a += len(m[0]) - len(m[0].lstrip())
-        b = a + len(m[0].strip())
-        if out and not text[out[-1][1] : a].strip():
-            out[-1] = (out[-1][0], b)
+    cuts = [0, *(m.end() for m in END.finditer(text)), len(text)]
+    # Blank pieces are no sentences.
+    spans = [(a + len(t) - len(t.lstrip()), a + len(t.rstrip())) for a, b in pairwise(cuts) if (t := text[a:b]).strip()]
+    starts = [a for a, _ in spans]
+    last = -1
+    for m in TRIGGER.finditer(text):
+        first, final = bisect(starts, m.start()) - 1, bisect(starts, m.end() - 1) - 1
+        low, high = max(0, first - 1), min(len(spans) - 1, final + 1)
+        if out and low <= last + 1:
+            out[-1] = (out[-1][0], max(out[-1][1], spans[high][1]))
         else:
-            out.append((a, b))
+            out.append((spans[low][0], spans[high][1]))
+        last = max(last, high)
     return out
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 import zlib
 from collections import Counter
 
@@ -213,6 +214,22 @@ def test_licences_hidden_by_their_neighbours():
     assert one("Permission notice: " + mit.removeprefix("Permission ")) == [("MIT", ["permission"], [])]
 
 
+@pytest.mark.parametrize("prefix", ["", " * ", "# "])
+def test_wrapped_licences(prefix):
+    s = licenses.default_scanner()
+    one = lambda t: [x[2:3] + x[4:] for x in s.scan(t)]
+    for name, i, cut in (("MIT", 1, ()), ("Apache-2.0", 1, (" http", " Unless")), ("GPL-3", 1, ())):
+        text = licenses.TEMPLATES[name.split("-")[0]][i]
+        for c in cut:
+            text = text.replace(c, "\n\n" + c.strip())
+        lines = [x for part in text.split("\n\n") for x in (*textwrap.wrap(part, 60, break_on_hyphens=False), "")]
+        assert one("\n".join(prefix + x if x else x for x in lines)) == [(name, [], [])]
+    # Untriggered sentences next to and between triggered ones belong to the block; farther ones don't.
+    text = "Far. Near. A license. One. Two. A warranty. Near. Far.\n\nA b."
+    assert [text[a:b] for a, b in licenses.blocks(text)] == ["Near. A license. One. Two. A warranty. Near."]
+    assert [x[2] for x in s.scan("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. Other text.")] == ["MPL-2.0"]
+
+
 def test_licence_edges(spark):
     out = licenses.scan(odd(spark), out="found")
     assert out.count() == len(ODD) and out.where(F.size("found") > 0).count() == 0
