@@ -7,8 +7,8 @@ grouped aggregation of the text's own verdicts and smoothed hierarchically: a ho
 its site, a site on the whole corpus. How far declarations and suffixes can be trusted is
 counted in the same pass. Missing evidence of any kind has likelihood 1.
 
-The trigram model is fitted on a bounded sample of rows with a declared language; all
-counts behind priors and trust cover every row.
+The trigram model is fitted on a bounded sample of the rows of each declared language; which
+languages there are, and the counts behind priors and trust, cover every row.
 
 A row is kept if its text has letters and the best language is at least ``MIN_POSTERIOR``
 likely. Defined results: a null or empty text, or one without letters, has no text evidence
@@ -26,10 +26,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from gablestone.llm.common import Scratch, first_by_hash, free_prefix, join_small, read, small_batches
+from gablestone.llm.common import Scratch, free_prefix, join_small, read, small_batches
 
-#: Rows from which the trigram model is fitted, at most.
+#: Rows of each language from which the trigram model is fitted, at most.
 MAX_TRAINING_ROWS = 6_000
 BUCKETS = 1 << 15
 #: Share of a trigram's evidence that counts, as trigrams overlap; and the most that a text's evidence may weigh.
@@ -37,8 +38,10 @@ TEMPER, MOST = 0.3, 60.0
 #: Weight of the parent's prior, in rows, and of a declaration or suffix not yet seen.
 LEAN, SEEN = 8.0, 0.5
 MIN_POSTERIOR = 0.5
-#: A language is known if so many training rows declare it.
+#: A language is known if so many rows of the whole table declare it.
 MIN_ROWS = 8
+#: Parts in which the rows of a language are ordered.
+PARTS = 64
 
 EVIDENCE = T.StructType([T.StructField("ll", T.ArrayType(T.FloatType(), False)), T.StructField("letters", T.LongType())])
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC3 for b in range(256)])
@@ -85,16 +88,18 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 
 def fit(docs: DataFrame, key: str, text: str, declared: str, max_rows: int = MAX_TRAINING_ROWS) -> TrigramModel:
-    """Count trigrams by declared language over at most ``max_rows`` rows, picked by hash."""
+    """Count trigrams by declared language over at most ``max_rows`` rows of each, picked by hash."""
     small_batches(docs.sparkSession)
     named = docs.where(F.col(declared).isNotNull() & F.col(key).isNotNull())
-    picked = first_by_hash(named.select(F.col(key).alias("_k")), "_k", max_rows).distinct()
-    rows = named.select(F.col(key).alias("_k"), F.col(text).cast("binary").alias("t"), F.lower(F.substring(F.col(declared), 1, 8)).alias("lang"))
-    rows = rows.join(F.broadcast(picked), "_k").select("t", "lang")
-    got = rows.mapInArrow(_count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # At most max_rows languages, of which those with MIN_ROWS rows are taken.
-    taken = got.where((F.col("bucket") == -1) & (F.col("n") >= MIN_ROWS)).select("lang")
-    table = got.join(F.broadcast(taken), "lang").toArrow()
+    rows = named.select(F.xxhash64(F.lit(17), F.col(key)).alias("h"), F.col(text).cast("binary").alias("t"), F.lower(F.col(declared)).alias("lang"))
+    taken = rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select("lang")
+    # The first of each language are among the first of its parts, and no task sorts a whole language.
+    part = F.pmod("h", F.lit(PARTS))
+    first = rows.select("lang", "h").withColumn("i", F.row_number().over(Window.partitionBy("lang", part).orderBy("h"))).where(F.col("i") <= max_rows)
+    first = first.withColumn("i", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("i") <= max_rows)
+    last = first.groupBy("lang").agg(F.max("h").alias("last"))
+    picked = rows.join(F.broadcast(last.join(taken, "lang")), "lang").where("h <= last").select("t", "lang")
+    table = picked.mapInArrow(_count_trigrams, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     lang, bucket, n = (np.array(table[c].to_pylist()) for c in ("lang", "bucket", "n"))
     known = tuple(sorted(set(lang.tolist())))
     counts = np.full((BUCKETS, len(known)), 0.2)
@@ -167,7 +172,7 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", declared:
     p = free_prefix(docs) if p is None else p
     model = model or fit(docs, key, text, declared)
     n, scratch = len(model.languages), Scratch(spark)
-    said = F.lower(F.substring(F.col(declared), 1, 8)) if declared else F.lit(None).cast("string")
+    said = F.lower(F.col(declared)) if declared else F.lit(None).cast("string")
     name = F.coalesce(F.col(host), F.lit("")) if host else F.lit("")
     tail = F.coalesce(suffix, F.lit("")) if suffix is not None else F.lit("")
     seen = text_evidence(model)(F.col(text).cast("binary"))

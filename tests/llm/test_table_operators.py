@@ -83,6 +83,16 @@ def test_host_priors_decide_without_text(spark):
     assert got[0] == ("en", True) and got[100] == ("de", True)
 
 
+def test_rare_languages_are_known_in_large_tables(spark):
+    rows = [(i, "the house and the garden of the king", "en") for i in range(3000)] + [(5000 + i, "das Haus und der Garten des Königs", "de-1996-long-tag") for i in range(8)]
+    rows += [(6000 + i, "la maison et le jardin du roi", "fr") for i in range(7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = language_id.fit(df, "doc_id", "text", "lang", max_rows=20)
+    assert model.languages == ("de-1996-long-tag", "en")
+    got = language_id.identify(df, host=None, model=model, p="_").where("doc_id between 5000 and 5999").select("_language", "_kept").distinct().collect()
+    assert [tuple(r) for r in got] == [("de-1996-long-tag", True)]
+
+
 def test_language_edges(spark):
     model = language_id.fit(read(spark, TINY, "documents"), "doc_id", "text", "lang")
     out = language_id.identify(odd(spark), model=model)
