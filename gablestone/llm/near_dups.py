@@ -147,7 +147,7 @@ class NearDuplicates:
         self.sketches = self.scratch.write(sketch, "sketches")
         self.members = self.scratch.write_few(self._group(), "members")
         self.scratch.release()
-        for name in ("reps", "met", "sets", "shingles", "rarest"):
+        for name in ("reps", "met", "sets", "distinct", "shingles", "rarest"):
             self.scratch.drop(name)
 
     def _group(self) -> DataFrame:
@@ -175,7 +175,7 @@ class NearDuplicates:
         # Written first, so that the join reads two plain inputs, which Spark can split where a bucket is hot.
         met = scratch.write(rows.join(scratch.keep(size), "band"), "met")
         ids = scratch.keep(met.select("id").distinct())
-        self.sets = scratch.write(self.sets_of(ids, ids.count()), "sets")
+        self.sets = self.distinct_sets(scratch.write(self.sets_of(ids, ids.count()), "sets"))
         links = self.confirm(self._fit(met))
         # Buckets of two are settled. In larger ones some sets may still be apart.
         tied = components(links, scratch)
@@ -200,10 +200,12 @@ class NearDuplicates:
         m - ceil(t m) + 1 of the other; an order by rarity makes that seldom chance.
         """
         scratch = self.scratch
-        have = self.sets.join(rest, "id").select("id", "n", "component", "bits", F.explode(hash_list("set")).alias("shingle"))
+        # An id may hold several sets: each is ranked by itself and has its own size.
+        n = (F.octet_length("set") / 8).cast("long").alias("n")
+        have = self.sets.join(rest.select("id", "component").distinct(), "id").select("id", F.xxhash64("set").alias("h"), n, "component", "bits", F.explode(hash_list("set")).alias("shingle"))
         have = scratch.write(have, "shingles")
         many = have.groupBy("shingle").agg(F.count("*").alias("df"))
-        ranked = have.join(many, "shingle").withColumn("i", F.row_number().over(Window.partitionBy("id", "component").orderBy("df", "shingle")))
+        ranked = have.join(many, "shingle").withColumn("i", F.row_number().over(Window.partitionBy("id", "h").orderBy("df", "shingle")))
         first = ranked.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * self.threshold / 100) + 1) & (F.col("df") > 1))
         first = scratch.write(first.select("shingle", "id", "n", "component", "bits", "i"), "rarest")
         x, y = first.alias("x"), first.alias("y")
@@ -220,6 +222,18 @@ class NearDuplicates:
         few = F.broadcast(ids) if n <= BROADCAST_IDS else ids
         return self.docs.join(few, "id", "left_semi").select("id", set_maker(self.size)("t").alias("s")).select("id", "s.*")
 
+    def distinct_sets(self, sets: DataFrame) -> DataFrame:
+        """Each set of an id once, however many of its rows hold it; only rows of repeated ids move."""
+        sets = sets.where(F.octet_length("set") > 0)
+        again = sets.groupBy("id").agg(F.count("*").alias("k")).where("k > 1").select("id")
+        again = self.scratch.keep(again)
+        n = again.count()
+        if not n:
+            return sets
+        few = F.broadcast(again) if n <= BROADCAST_IDS else again
+        once = sets.join(few, "id", "left_semi").groupBy("id", F.xxhash64("set").alias("h")).agg(F.first("set").alias("set"), F.first("bits").alias("bits")).drop("h")
+        return self.scratch.write(sets.join(few, "id", "left_anti").unionByName(once), "distinct")
+
     def confirm(self, pairs: DataFrame) -> DataFrame:
         """The pairs (a, b) whose full sets are as alike as asked for."""
         left = pairs.join(self.sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a")

@@ -151,6 +151,31 @@ def test_groups_equal_brute_force(spark):
     assert sorted(map(tuple, got.collect()), key=str) == sorted(brute_components(docs, 4), key=str)
 
 
+def test_repeated_rows_lose_no_links(spark):
+    rng = random.Random(11)
+    passage = " ".join(f"p{k}" for k in range(60))
+    texts = [passage + " " + " ".join(f"q{rng.randint(0, 10**6)}" for _ in range(rng.randint(3, 40))) for _ in range(60)]
+    # Pairs that are just alike enough, in buckets that a shorter text between them ties.
+    docs = [(i, t) for i, t in enumerate(texts)] * 4 + [(i, t) for i in (3, 9) for t in (texts[i + 30], "", None)]
+    rng.shuffle(docs)
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    found = near_dups.NearDuplicates(df, size=4)
+    assert sorted(map(tuple, found.result().collect()), key=str) == sorted(brute_components(docs, 4), key=str)
+
+
+def test_prefixes_count_distinct_shingles(spark):
+    """Two sets of 100 that share 89 (0.8 of 111), whose first shared shingle comes late in one, three rows each."""
+    U = np.uint64
+    both, x, y = np.arange(1000, 1089, dtype=U), np.arange(11, dtype=U), np.arange(5000, 5011, dtype=U)
+    rows = [(i, np.sort(np.concatenate([s, both])).tobytes()) for i, s in ((1, x), (2, y))] * 3
+    found = near_dups.NearDuplicates.__new__(near_dups.NearDuplicates)
+    found.size, found.threshold, found.scratch = 4, 80, Scratch(spark)
+    sets = spark.createDataFrame([(i, bytearray(s), near_dups.parity(np.frombuffer(s, U)).tolist()) for i, s in rows], "id long, set binary, bits array<long>")
+    found.sets = found.distinct_sets(sets)
+    rest = spark.createDataFrame([(1, 100, 1), (2, 100, 2)], "id long, n long, component long")
+    assert [tuple(r) for r in found.by_rare_shingles(rest).collect()] == [(1, 2)]
+
+
 def test_one_of_each_group_stays(spark):
     rng = random.Random(8)
     texts = [t for t in family(rng, 100, 1, 5)] + [f"alone {k} " + " ".join(f"a{k}b{j}" for j in range(20)) for k in range(4)]
