@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gablestone.llm.common import read, small_batches
+from gablestone.llm.common import parts, read
 
 #: Pieces of text that a process remembers in each of two generations; and pairs of tokens.
 MEMORY, PAIRS = 150_000, 400_000
@@ -227,7 +227,7 @@ def encoder(path: str):
 
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
-        for texts in batches:
+        for texts in parts(batches):
             ids = [c.encode(t) for t in texts.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array([len(x) // 4 for x in ids], pa.int64())], names=["ids", "n_tokens"])
 
@@ -239,14 +239,13 @@ def decoder(path: str):
 
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
-        for ids in batches:
+        for ids in parts(batches):
             yield pa.array([None if x is None else c.decode(x).decode("utf-8") for x in ids.to_pylist()], pa.string())
 
     return F.arrow_udf(decode, T.StringType())
 
 
 def tokenise(docs: DataFrame, text: str = "text", out: str = "tokens", path: str | None = None) -> DataFrame:
-    small_batches(docs.sparkSession)
     return docs.withColumn(out, encoder(path or default_vocabulary())(F.col(text)))
 
 
@@ -257,7 +256,7 @@ def _round_trip(path: str):
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
-        for texts in batches:
+        for texts in parts(batches):
             n, ids, back = [], [], []
             for t in texts.to_pylist():
                 x = c.encode(t)
@@ -270,19 +269,17 @@ def _round_trip(path: str):
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
-    small_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", _round_trip(default_vocabulary())("text").alias("t")).select("doc_id", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256")
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the pipeline: each document's tokens, and digests that show the round trip."""
-    small_batches(spark)
     path = default_vocabulary()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = codec(path)
-        for texts in batches:
+        for texts in parts(batches):
             ids = [c.encode(t) for t in texts.to_pylist()]
             flat = pa.array(np.frombuffer(b"".join(ids), "<u4").astype(np.int32))
             at = pa.array(np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32))

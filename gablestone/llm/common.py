@@ -3,30 +3,40 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows handed to Python at once. Texts may be long, so batches are short.
+#: Rows that a worker turns into Python objects at once. Arrow batches are bounded by bytes
+#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), so long texts fit as well.
 BATCH_ROWS = 500
 #: Largest number of rows that is broadcast after it has been counted.
 BROADCAST_ROWS = 20_000
+#: Bytes that a file of a gathered table should hold.
+FILE_BYTES = 32 << 20
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def small_batches(spark: SparkSession) -> None:
-    """Bound what one Arrow batch holds, in rows, so that long texts fit the worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+def parts(batches: Iterator) -> Iterator:
+    """Arrow batches, arrays or tuples of arrays, cut into such of at most ``BATCH_ROWS`` rows."""
+    for b in batches:
+        n = len(b[0]) if isinstance(b, tuple) else len(b) if isinstance(b, (pa.Array, pa.ChunkedArray)) else b.num_rows
+        for i in range(0, n, BATCH_ROWS):
+            yield tuple(c.slice(i, BATCH_ROWS) for c in b) if isinstance(b, tuple) else b.slice(i, BATCH_ROWS)
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's checkpoint folder; a local one is set only where none is named."""
+    """The cluster's checkpoint folder; a local one is set only where none is named, and in local mode alone."""
     sc = spark.sparkContext
     named = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not named:
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         import tempfile
 
         named = tempfile.mkdtemp(prefix="gablestone-")
@@ -60,15 +70,16 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def write_few(self, df: DataFrame, name: str) -> DataFrame:
-        """As ``write``, for narrow tables: gathered into a sixteenth of the shuffle's partitions."""
-        n = int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16
-        return self.write(df.repartition(max(1, n)), name)
+    def write_few(self, df: DataFrame, name: str, size: int = 0) -> DataFrame:
+        """As ``write``, for narrow tables of at most ``size`` bytes: gathered into a file for each
+        ``FILE_BYTES``, but a sixteenth of the shuffle's partitions at least."""
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16, -(-size // FILE_BYTES))
+        return self.write(df.repartition(n), name)
 
-    def keep(self, df: DataFrame) -> DataFrame:
+    def keep(self, df: DataFrame, size: int = 0) -> DataFrame:
         """A narrow table that several steps read, written as ``write_few`` does until ``release``."""
         self.kept.append(f"kept-{len(self.kept)}-{uuid.uuid4().hex[:8]}")
-        return self.write_few(df, self.kept[-1])
+        return self.write_few(df, self.kept[-1], size)
 
     def release(self) -> None:
         """Remove what was kept; call it once what depends on it is written."""

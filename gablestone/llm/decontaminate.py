@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gablestone.llm.common import free_prefix, read, small_batches
+from gablestone.llm.common import free_prefix, parts, read
 
 WINDOW = 10
 #: Windows that a task holds at once, at most.
@@ -62,7 +62,7 @@ def shingles(window: Window) -> list:
 def _shingle_counter(wanted: frozenset, singles: frozenset):
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found: Counter = Counter()
-        for batch in batches:
+        for batch in parts(batches):
             for text in batch.column(0).to_pylist():
                 w = words(text)
                 found.update(wanted.intersection(zip(w, w[1:])))
@@ -133,7 +133,7 @@ def merge(spans) -> list[tuple[int, int]]:
 
 def _matcher(index: Index):
     def match(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in parts(batches):
             n, starts, ends, items = [], [], [], []
             for text in texts.to_pylist():
                 w = words(text)
@@ -172,7 +172,6 @@ def _blocks(benchmark: DataFrame, text: str, item: str, block_windows: int) -> I
 
 def find(docs: DataFrame, benchmark: DataFrame, text: str = "text", item: str = "item_id", out: str = "hits", block_windows: int = BLOCK_WINDOWS) -> DataFrame:
     """docs with a struct: n_words, spans [starts, ends) of the words that are hit, and items."""
-    small_batches(docs.sparkSession)
     blocks = _blocks(benchmark, text, item, block_windows)
     first, second = next(blocks, []), next(blocks, None)
     texts = lambda df: F.col(text).cast("binary")

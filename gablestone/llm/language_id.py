@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gablestone.llm.common import Scratch, free_prefix, join_small, read, small_batches
+from gablestone.llm.common import Scratch, free_prefix, join_small, parts, read
 
 #: Rows of each language from which the trigram model is fitted, at most.
 MAX_TRAINING_ROWS = 6_000
@@ -76,7 +76,7 @@ class TrigramModel:
 def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     counts: dict[str, np.ndarray] = {}
     rows: dict[str, int] = {}
-    for batch in batches:
+    for batch in parts(batches):
         for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             c = counts.setdefault(lang, np.zeros(BUCKETS, np.int64))
             c += np.bincount(trigrams(text or b""), minlength=BUCKETS)
@@ -89,7 +89,6 @@ def _count_trigrams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
 
 def fit(docs: DataFrame, key: str, text: str, declared: str, max_rows: int = MAX_TRAINING_ROWS) -> TrigramModel:
     """Count trigrams by declared language over at most ``max_rows`` rows of each, picked by hash."""
-    small_batches(docs.sparkSession)
     named = docs.where(F.col(declared).isNotNull() & F.col(key).isNotNull())
     rows = named.select(F.xxhash64(F.lit(17), F.col(key)).alias("h"), F.col(text).cast("binary").alias("t"), F.lower(F.col(declared)).alias("lang"))
     taken = rows.groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= MIN_ROWS).select("lang")
@@ -111,7 +110,7 @@ def fit(docs: DataFrame, key: str, text: str, declared: str, max_rows: int = MAX
 
 def text_evidence(model: TrigramModel):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for texts in batches:
+        for texts in parts(batches):
             got = [model.evidence(t) for t in texts.to_pylist()]
             flat = pa.array(np.concatenate([x for x, _ in got]) if got else np.zeros(0, np.float32), pa.float32())
             at = pa.array(np.arange(len(got) + 1, dtype=np.int32) * len(model.languages))
@@ -168,7 +167,6 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", declared:
     ``suffix`` is an expression of the address suffix; the site of a host is its last two labels.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     p = free_prefix(docs) if p is None else p
     model = model or fit(docs, key, text, declared)
     n, scratch = len(model.languages), Scratch(spark)

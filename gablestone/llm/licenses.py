@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gablestone.llm.common import read, small_batches
+from gablestone.llm.common import parts, read
 
 #: Words that are missing or added may be so many less than all of a template's words.
 FOUND = 0.85
@@ -226,7 +226,7 @@ def default_scanner() -> Scanner:
 def _scan(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("license", pa.string()), ("reduction", pa.float64()), ("missing", pa.list_(pa.string())), ("added", pa.list_(pa.string()))]))
     names = [f.name for f in kind.value_type]
-    for texts in batches:
+    for texts in parts(batches):
         yield pa.array([[dict(zip(names, x)) for x in default_scanner().scan(t)] for t in texts.to_pylist()], kind)
 
 
@@ -235,7 +235,6 @@ scan_texts = F.arrow_udf(_scan, T.ArrayType(FOUND_TYPE)).asNondeterministic()
 
 def scan(docs: DataFrame, text: str = "text", out: str = "licenses") -> DataFrame:
     """docs with an array of the blocks found in each whole text."""
-    small_batches(docs.sparkSession)
     return docs.withColumn(out, scan_texts(F.col(text)))
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gablestone.llm.common import Scratch, free_prefix, read, small_batches
+from gablestone.llm.common import Scratch, free_prefix, parts, read
 from gablestone.llm.components import components
 from gablestone.llm.superminhash import bands, mix, signatures
 
@@ -83,7 +83,7 @@ def sketcher(size: int):
         import xxhash
 
         shingle = Shingler(size)
-        for texts in batches:
+        for texts in parts(batches):
             sets = [shingle(t) for t in texts.to_pylist()]
             sizes = np.array([len(s) for s in sets], np.int64)
             keys = bands(signatures(np.concatenate(sets) if sets else np.zeros(0, U), sizes, SLOTS), BAND)
@@ -104,7 +104,7 @@ def parity(s: np.ndarray) -> np.ndarray:
 def set_maker(size: int):
     def make(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         shingle = Shingler(size)
-        for texts in batches:
+        for texts in parts(batches):
             sets = [shingle(t) for t in texts.to_pylist()]
             at = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * (BITS // 64))
             bits = pa.array(np.concatenate([parity(s) for s in sets]) if sets else np.zeros(0, np.int64))
@@ -124,7 +124,7 @@ hash_list = F.arrow_udf(_hash_list, T.ArrayType(T.LongType(), False))
 
 def linker(threshold: int):
     def alike(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
-        for left, right in batches:
+        for left, right in parts(batches):
             out = []
             for a, b in zip(left, right):
                 x, y = np.frombuffer(a.as_buffer(), U), np.frombuffer(b.as_buffer(), U)
@@ -139,7 +139,6 @@ class NearDuplicates:
     """One run over a table; ``sketches`` and ``members`` are what it found."""
 
     def __init__(self, docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, threshold: int = THRESHOLD):
-        small_batches(docs.sparkSession)
         self.size, self.threshold = size, threshold
         self.scratch = Scratch(docs.sparkSession)
         self.docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))

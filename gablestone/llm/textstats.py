@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gablestone.llm.common import parts
+
 #: Characters counted as symbols.
 SYMBOLS = "#*$%&|<>"
 SPACES = " \t\n\x0b\x0c\r"
@@ -71,7 +73,7 @@ def _columns(texts: pa.Array) -> pa.Array:
 
 def _text_stats(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     """A struct of COUNTS for each whole text."""
-    for texts in batches:
+    for texts in parts(batches):
         yield _columns(texts)
 
 

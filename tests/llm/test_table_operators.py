@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import json
 import random
+import re
 import zlib
 from collections import Counter
 
@@ -235,32 +238,124 @@ def page(k, extra=""):
 
 
 def test_wrappers_find_the_article(spark):
-    rows = [(k, f"http://h{k % 2}.example/{k}", page(k, "<ul><li>x<li>y</ul>" if k % 3 else "<table><tr><td>c<td>d</table>")) for k in range(20)]
-    rows += [(100, "http://h0.example/x", None), (101, None, "<p>plain</p> tail"), (102, "http://h1.example/odd", "<div>no article <p>here"), (103, "", ""), (0, "http://h0.example/0", page(0, "<table><tr><td>c<td>d</table>"))]
+    rows = [(k, f"http://h{k % 2}.example/{k}", page(k, f"<ul><li>x{k}<li>y{k}</ul>" if k % 3 else f"<table><tr><td>c{k}<td>d{k}</table>")) for k in range(20)]
+    rows += [(100, "http://h0.example/x", None), (101, None, "<p>plain</p> tail"), (102, "http://h1.example/odd", "<div>no article <p>here"), (103, "", ""), (0, "http://h0.example/0", page(0, "<table><tr><td>c0<td>d0</table>"))]
     df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("old")).withColumn("_host", F.lit(1)).repartition(3)
     got = {r.page_id: r.text for r in wrappers.extract(df, out="main").withColumnRenamed("text", "was").withColumnRenamed("main", "text").collect()}
     for k in range(20):
-        assert got[k] == f"Head & line {k} First bold {k}. next Second {k} " + ("x y" if k % 3 else "c d")
+        assert got[k] == f"Head & line {k} First bold {k}. next Second {k} " + (f"x{k} y{k}" if k % 3 else f"c{k} d{k}")
     assert got[100] == "" and got[101] == "plain tail" and got[102] == "no article here" and got[103] == ""
     assert wrappers.extract(df.limit(0)).count() == 0
 
 
+def inferred(pages, evidence=wrappers.EVIDENCE, share=wrappers.SHARE):
+    """Template and wrapper of one host, counted and aligned in plain Python."""
+    counts = {}
+    for x in pages:
+        wrappers.count_page(x, counts, "h")
+    texts = [k[3] for k, v in counts.items() if k[1] == wrappers.TEXT and v[0] >= evidence and v[0] >= share * counts["h", wrappers.PATH, k[2], 0][0]]
+    columns = [k[3] for k, v in counts.items() if k[1] == wrappers.BROTHERS and v[0] >= evidence and v[1] == v[2] > 1 and v[0] == counts["h", wrappers.PARENT, k[2], 0][0]]
+    template, wrapper = wrappers.Template(json.dumps({"t": texts, "c": columns})), wrappers.Wrapper()
+    for x in pages:
+        wrapper.add_page(x, template)
+    return template, wrapper
+
+
+def judge_of(pages):
+    template, wrapper = inferred(pages)
+    return wrappers.Judge(json.dumps(wrappers.judged(wrapper, template)))
+
+
 def test_alignment_makes_groups_and_slots():
-    p = lambda s: wrappers.folded(wrappers.page_units(s)[0])
-    w = wrappers.align(p("<div><h1>A</h1><p>x</p></div>"), p("<div><h1>A</h1><p>y</p><p>z</p><hr><ul><li>q</ul></div>"))
-    assert wrappers.expression(w) == "<div><h1>'A'</h1>(<p>#</p>)+(<ul><li>'q'</li></ul>)?</div>"
-    assert wrappers.expression(wrappers.align(w, w)) == wrappers.expression(w)
-    items = p("<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>")
-    assert wrappers.expression(items) == "<dl>(<dt>#</dt><dd>#</dd>)+</dl>"
-    assert wrappers.expression(wrappers.align(items, p("<dl><dt>a<dd>x</dl>"))) == "<dl>(<dt>#</dt><dd>#</dd>)+</dl>"
-    assert wrappers.expression(wrappers.align(items, p("<dl></dl>"))) == "<dl>((<dt>#</dt><dd>#</dd>)*)</dl>".replace("((", "(").replace("*))", "*)").replace(")*)", ")*")
+    show = lambda *pages: inferred(pages)[1].expression()
+    assert show("<div><h1>A</h1><p>x</p></div>", "<div><h1>A</h1><p>y</p><p>z</p><hr><ul><li>q</ul></div>") == "<div><h1>#</h1>(<p>#</p>)+(<ul><li>#</li></ul>)?</div>"
+    items = "<dl><dt>a<dd>b<dt>c<dd>d<dt>e<dd>f</dl>"
+    assert show(items) == show(items, items) == show(items, "<dl><dt>a<dd>x</dl>") == show("<dl><dt>a<dd>x</dl>", items) == "<dl>(<dt>#</dt><dd>#</dd>)+</dl>"
+    # What changes its order, or recurs with something else between, is a repeated group of optional tokens.
+    assert show("<h2>a</h2><p>b</p>", "<p>c</p><h2>d</h2>") == "((<h2>#</h2>)?(<p>#</p>)?)+"
+    assert show("<p>a</p><ul><li>b</ul><p>c</p><h2>d</h2>") == "((<p>#</p>)?(<ul><li>#</li></ul>)?)+<h2>#</h2>"
+    fixed = [f"<body><div>Call us</div><div>{k} text</div><p>End</p></body>" for k in range(6)]
+    assert show(*fixed) == "<body><div/1>'const'</div><div/2>#</div><p>'const'</p></body>"
+
+
+def accepts(level, tokens):
+    """Whether an expression's level covers a row of tokens, by the pattern that it stands for."""
+    letter = {t: chr(0xE000 + i) for i, t in enumerate(sorted({t for g in level for t, _ in g[2]} | set(tokens)))}
+    sign = {(0, 0): "", (0, 1): "?", (1, 0): "+", (1, 1): "*"}
+    pattern = "".join("(?:" + "".join(letter[t] + ("?" if o else "") for t, o in g[2]) + ")" + sign[int(g[0]), int(g[1])] for g in level)
+    return re.fullmatch(pattern, "".join(letter[t] for t in tokens)) is not None
+
+
+def test_levels_cover_what_was_aligned():
+    rng = random.Random(12)
+    for _ in range(400):
+        rows = [[rng.choice("abcdefgh"[: rng.randint(1, 8)]) for _ in range(rng.randint(0, 9))] for _ in range(rng.randint(1, 6))]
+        level = wrappers.fold(rows[0])
+        for r in rows[1:]:
+            level = wrappers.align(level, wrappers.fold(r))
+        halves = wrappers.align(*[functools.reduce(wrappers.align, map(wrappers.fold, part)) for part in (rows[::2], rows[1::2] or rows[:1])])
+        for made in (level, halves):
+            assert len({t for g in made for t, _ in g[2]}) == sum(len(g[2]) for g in made)
+            assert all(accepts(made, r) for r in rows), (rows, made)
+
+
+def shuffled_host(rng, kind):
+    """Pages of one host and the article of each; the host's frame is drawn once."""
+    word = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(n))
+    top, end, notice = word(4), word(5), word(9)
+    open_, close = {"article": ("<article>", "</article>"), "plain": ("<div>", "</div>"), "misleading": ('<div class="content share-enabled">', "</div>"), "table": ("<table><tr><td>", "</td></tr></table>")}[kind]
+    pages, want = [], []
+    for k in range(30):
+        lead, body = word(8), [word(rng.randint(20, 60)) for _ in range(rng.randint(1, 5))]
+        tag = '<p class="teaser">' if kind == "misleading" else "<p>"
+        article = f"<h1>{lead[:17]}</h1>{tag}{lead}</p>" + "".join(f"<p>{b}</p>" for b in body) + ("<ul><li>one<li>" + lead[:5] + "</ul>" if k % 3 == 0 and kind == "plain" else "")
+        links = "".join(f'<a href="/{k}">{word(2)}</a> ' for _ in range(4))
+        pages.append(f'<html><body><div>{top}</div><div class="nav"><ul><li><a href=x>{word(1)}</a></ul></div><div>{links}</div>{open_}{article}<p>{notice}</p>{close}<div><p>{end}</p></div><div class="comments"><p>{word(6)}</p></div></body></html>')
+        want.append(" ".join([lead[:17], lead, *body, *(["one", lead[:5]] if "<ul><li>one" in article else [])]))
+    return pages, want, (top, end, notice)
+
+
+@pytest.mark.parametrize("kind", ["article", "plain", "misleading", "table"])
+def test_the_wrapper_decides(kind):
+    """Hosts without marks, with unmarked constants and with misleading words; without the wrapper constants stay."""
+    rng = random.Random(kind)
+    for _ in range(4):
+        pages, want, fixed = shuffled_host(rng, kind)
+        judge = judge_of(pages)
+        got = [wrappers.main_text(x, judge) for x in pages]
+        if kind == "plain":  # "one" stands on all pages with a list
+            want = [w.replace(" one ", " ") for w in want]
+        assert got == want
+        bare = [wrappers.main_text(x, None) for x in pages]
+        assert all(fixed[2] in b for b in bare) and bare != got
+
+
+def test_copies_keep_their_text():
+    same = [f"<body><p>{k}</p><article><h1>Head</h1><p>All pages say the same, word by word.</p></article></body>" for k in range(9)]
+    assert {wrappers.main_text(x, judge_of(same)) for x in same} == {"Head All pages say the same, word by word."}
+    whole = ["<body><nav>n</nav><article><p>Just the same.</p></article></body>"] * 9
+    assert wrappers.main_text(whole[0], judge_of(whole)) == "Just the same."
+
+
+def test_merged_wrappers_judge_alike(spark, monkeypatch):
+    """However pages are dealt and tables are joined, the text is the same as in plain Python."""
+    rng = random.Random(5)
+    hosts = {f"h{k}.example": shuffled_host(rng, kind) for k, kind in enumerate(("article", "plain", "table", "misleading"))}
+    rows = [(f"http://{h}/{i}", p) for h, (pages, _, _) in hosts.items() for i, p in enumerate(pages)]
+    want = {f"http://{h}/{i}": wrappers.main_text(p, judge_of(pages)) for h, (pages, _, _) in hosts.items() for i, p in enumerate(pages)}
+    df = spark.createDataFrame(rows, "url string, html string")
+    for n, size, entries in ((1, 1 << 20, 10**6), (7, 0, 10**6), (5, -1, 20)):
+        monkeypatch.setattr(wrappers, "BROADCAST_BYTES", size)
+        monkeypatch.setattr(wrappers, "ENTRIES", entries)
+        assert {r.url: r.text for r in wrappers.extract(df.repartition(n)).collect()} == want
 
 
 def test_deep_and_broken_pages():
     deep = "<div>" * 3000 + "text" + "</div>" * 2000 + "<p>more</b></i></table> and <b>some"
-    w = wrappers.folded(wrappers.page_units(deep)[0])
-    assert wrappers.main_text(deep, wrappers.Judge(__import__("json").dumps(wrappers.judged(w)))) == "text more and some"
-    assert wrappers.main_text("<article>a<!-- <p>no</p> --> b &lt;c&gt; &#233;<script>x()", wrappers.Judge(None)) == "a b <c> é"
+    assert wrappers.main_text(deep, judge_of([deep])) == "text more and some"
+    wide = "".join(f"<p>{k}</p><h2>{k}</h2>" for k in range(20_000))
+    assert wrappers.main_text(wide, judge_of([wide])) == " ".join(f"{k} {k}" for k in range(20_000))
+    assert wrappers.main_text("<article>a<!-- <p>no</p> --> b &lt;c&gt; &#233;<script>x()", None) == "a b <c> é"
 
 
 def test_main_text_of_the_supplied_pages(spark):
