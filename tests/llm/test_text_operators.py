@@ -230,6 +230,63 @@ def test_wrapped_licences(prefix):
     assert [x[2] for x in s.scan("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. Other text.")] == ["MPL-2.0"]
 
 
+FLAT = [(name, t) for name in sorted(licenses.TEMPLATES) for t in licenses.TEMPLATES[name]]
+
+
+def family(name):
+    return re.sub(r"-[0-9.]+$", "", name or "")
+
+
+def test_every_template_is_found_wherever_it_stands():
+    s = licenses.default_scanner()
+    found = lambda t: [family(x[2]) for x in s.scan(t)]
+    before = "All of the source code in this fine repository, written over many years by people of many lands, is hereby offered and "
+    for name, t in FLAT:
+        assert found(t) == [name], t
+        assert name in found(before + t[0].lower() + t[1:] + " And so on.")
+        lines = "\n".join(" * " + x for x in textwrap.wrap(t, 66, break_on_hyphens=False))
+        assert found("int main() {}\n\n" + lines + "\n\nint x;") == [name]
+    rng = random.Random(6)
+    for _ in range(30):
+        some = rng.sample(FLAT, 10)
+        assert sorted(found(" ".join(t for _, t in some))) == sorted(n for n, _ in some)
+
+
+def fewest_changes(want, have):
+    """Least number of words missing from or added to any span of ``have``, by trying all spans."""
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for x in a:
+            diagonal, row[0] = row[0], row[0] + 1
+            for j, y in enumerate(b, 1):
+                diagonal, row[j] = row[j], diagonal if x == y else min(row[j], row[j - 1]) + 1
+        return row[-1]
+
+    return min(distance(want, have[i:j]) for i in range(len(have) + 1) for j in range(i, len(have) + 1))
+
+
+def test_scans_equal_brute_force():
+    """A block holds a licence if, and only if, some span of it is near enough to some template."""
+    s = licenses.default_scanner()
+    short = [i for i, (_, t) in enumerate(s.templates) if len(licenses.words(t)) <= 16]
+    rng = random.Random(2)
+    seen = Counter()
+    for _ in range(120):
+        w = s.templates[rng.choice(short)][1].split()
+        for _ in range(rng.randint(0, 4)):
+            k = rng.randrange(len(w))
+            w[k : k + rng.randint(0, 1)] = rng.choice([[], ["licensed"], ["the", "old"]])
+        text = "Some words of a licensed text then " + " ".join(w)
+        (a, b), = licenses.blocks(text)
+        have = licenses.bare(licenses.words(text[a:b]))
+        want = any(fewest_changes(licenses.bare(s.words[i]), have) <= int(s.allowed[i]) for i in short)
+        got = any(x[2] for x in s.scan(text))
+        assert got == want, text
+        seen[got] += 1
+    assert min(seen[True], seen[False]) > 10
+
+
 def test_licence_edges(spark):
     out = licenses.scan(odd(spark), out="found")
     assert out.count() == len(ODD) and out.where(F.size("found") > 0).count() == 0
