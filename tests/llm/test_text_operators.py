@@ -87,7 +87,7 @@ def test_rules_on_odd_rows(spark):
 
 
 def rows_of(df):
-    return sorted(map(tuple, df.select("doc_id", F.col("hits.n_words"), decontaminate.n_hit(), F.size("hits.items").cast("long"), F.sha2(F.concat_ws(",", "hits.items"), 256), F.size("hits.items") > 0).collect()), key=str)
+    return sorted(map(tuple, df.select("doc_id", F.col("hits.n_words"), decontaminate.n_hit(), F.size("hits.items").cast("long"), F.sha2(F.concat_ws(",", "hits.items"), 256), F.size("hits.starts") > 0).collect()), key=str)
 
 
 def contaminated(spark, seed=1, n=60):
@@ -99,12 +99,15 @@ def contaminated(spark, seed=1, n=60):
     return docs, items
 
 
-@pytest.mark.parametrize("block", [10_000, 7])
-def test_windows_equal_brute_force(spark, block):
+@pytest.mark.parametrize("block, size", [(10_000, 1 << 20), (7, 1 << 20), (0, -1)])
+def test_windows_equal_brute_force(spark, monkeypatch, block, size):
+    """Windows matched in the scan, joined as rows, and with hits that are joined with salt."""
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", size)
     docs, items = contaminated(spark)
     docs += [(1000, None), (1001, ""), (1002, "--- !!"), (5, docs[5][1])]
     df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
-    bench = spark.createDataFrame([*items, (None, "a b c")], "item_id string, text string")
+    items.append((None, "a b c d1 é"))
+    bench = spark.createDataFrame(items, "item_id string, text string")
     got = rows_of(decontaminate.find(df, bench, block_windows=block))
     assert got == sorted(decontaminate.brute_force(docs, items), key=str)
     assert any(r[5] for r in got) and not all(r[5] for r in got)
@@ -117,15 +120,40 @@ def test_words_are_cut_as_agreed():
 
 def test_decontamination_edges(spark):
     bench = read(spark, TINY, "benchmark")
-    out = decontaminate.find(odd(spark), bench.limit(0), out="h")
-    assert out.count() == len(ODD) and out.where(F.size("h.items") > 0).count() == 0
+    for block in (100, -1):
+        out = decontaminate.find(odd(spark), bench.limit(0), out="h", block_windows=block)
+        assert out.count() == len(ODD) and out.where(F.size("h.items") > 0).count() == 0
     assert decontaminate.find(empty(spark), bench).count() == 0
     kept = decontaminate.remove_contaminated(spark, odd(spark), TINY)
     assert kept.columns == odd(spark).columns and kept.count() == len(ODD)
     q = decontaminate.op3_decontaminate(spark, TINY).collect()
-    sample = [(r.doc_id, r.text) for r in read(spark, TINY, "documents").collect()][:60]
-    want = decontaminate.brute_force(sample, [(r.item_id, r.text) for r in bench.collect()])
-    assert {tuple(r) for r in q if r.doc_id in {d for d, _ in sample}} == set(want)
+    docs = [(r.doc_id, r.text) for r in read(spark, TINY, "documents").collect()]
+    assert sorted(map(tuple, q)) == sorted(whole_search(docs, [(r.item_id, r.text) for r in bench.collect()]))
+    long = [(1, "filler text " * 100_000 + "one two three four five six seven eight nine ten" + " more" * 100_000)]
+    for block in (100, 0):
+        found = decontaminate.find(spark.createDataFrame(long, "doc_id long, text string"), spark.createDataFrame([("a", "zero one two three four five six seven eight nine ten"), ("b", "more filler")], "item_id string, text string"), block_windows=block)
+        assert [(r.hits.n_words, r.hits.starts, r.hits.ends, r.hits["items"]) for r in found.collect()] == [(300_010, [200_000], [200_010], ["a"])]
+
+
+def whole_search(docs, items):
+    """The same rows by searching each window in each document's text, blank-joined."""
+    wins = {}
+    for item, t in items:
+        for w in decontaminate.windows(decontaminate.words(t)):
+            wins.setdefault(b" ".join(w), (len(w), set()))[1].add(str(item))
+    out = []
+    for doc_id, text in docs:
+        w = decontaminate.words(text)
+        line, hit, names = b" " + b" ".join(w) + b" ", set(), set()
+        for win, (n, who) in wins.items():
+            at = line.find(b" " + win + b" ")
+            while at >= 0:
+                first = line.count(b" ", 0, at + 1) - 1
+                hit.update(range(first, first + n))
+                names |= who
+                at = line.find(b" " + win + b" ", at + 1)
+        out.append((doc_id, len(w), len(hit), len(names), hashlib.sha256(",".join(sorted(names)).encode()).hexdigest(), bool(hit)))
+    return out
 
 
 # --- encoding -----------------------------------------------------------------------
