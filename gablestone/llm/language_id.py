@@ -13,7 +13,10 @@ languages there are, and the counts behind priors and trust, cover every row.
 A row is kept if its text has letters and the best language is at least ``MIN_POSTERIOR``
 likely. Defined results: a null or empty text, or one without letters, has no text evidence
 and isn't kept, though it still gets the most likely language from the other evidence; null
-hosts share a prior; unknown declarations count as missing; other columns pass through.
+hosts share a prior; unknown declarations count as missing; of equally likely languages the
+first by name is taken; repeated rows are judged one by one, and alike; very long texts are
+read whole; other columns pass through, also such with the names of results, as those stand
+behind a prefix that no column has.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from gablestone.llm.common import Scratch, free_prefix, join_small, parts, read
+from gablestone.llm.common import Scratch, free_prefix, parts, read
 
 #: Rows of each language from which the trigram model is fitted, at most.
 MAX_TRAINING_ROWS = 6_000
@@ -40,8 +43,8 @@ LEAN, SEEN = 8.0, 0.5
 MIN_POSTERIOR = 0.5
 #: A language is known if so many rows of the whole table declare it.
 MIN_ROWS = 8
-#: Parts in which the rows of a language are ordered.
-PARTS = 64
+#: Parts in which the rows of a language are ordered; bytes of priors that are broadcast, and parts of a host beyond that.
+PARTS, BROADCAST_BYTES, SALT = 64, 64 << 20, 16
 
 EVIDENCE = T.StructType([T.StructField("ll", T.ArrayType(T.FloatType(), False)), T.StructField("letters", T.LongType())])
 _LETTER = np.array([65 <= b <= 90 or 97 <= b <= 122 or b >= 0xC3 for b in range(256)])
@@ -129,9 +132,7 @@ class Trust:
     """What the grouped counts say: tables by host and by suffix, and the trust in declarations."""
 
     hosts: DataFrame
-    n_hosts: int
     suffixes: DataFrame
-    n_suffixes: int
     wrong: float
 
 
@@ -158,30 +159,46 @@ def _gather(evidence: DataFrame, languages: tuple[str, ...], scratch: Scratch) -
     said = counted.where(F.array_contains(names, F.col("declared"))).agg(
         F.sum("n").alias("n"), F.sum(F.when(F.array_position(names, F.col("declared")) != F.col("best"), F.col("n")).otherwise(0)).alias("wrong")).first()
     wrong = ((said["wrong"] or 0) + 1.0) / ((said["n"] or 0) + 4.0)
-    return Trust(hosts, hosts.count(), suffixes, suffixes.count(), min(0.5, wrong))
+    return Trust(hosts, suffixes, min(0.5, wrong))
+
+
+def _placed(rows: DataFrame, table: DataFrame, on: str) -> DataFrame:
+    """rows with those of a written table of evidence, which is broadcast while its bytes are few.
+
+    Beyond that both sides meet by key and salt, so that a host with a third of all rows is no single task.
+    """
+    value = next(c for c in table.columns if c != on)
+    size = table.agg(F.sum(F.octet_length(on) + 8 * F.size(value) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
+        return rows.join(F.broadcast(table), on, "left")
+    p = free_prefix(rows)
+    salted = table.withColumn(f"{p}salt", F.explode(F.sequence(F.lit(0), F.lit(SALT - 1))))
+    return rows.withColumn(f"{p}salt", F.floor(F.rand(3) * SALT).cast("int")).join(salted, [on, f"{p}salt"], "left").drop(f"{p}salt")
 
 
 def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", declared: str | None = "lang", host: str | None = "source", suffix: Column | None = None, model: TrigramModel | None = None, p: str | None = None, carry: list[str] | None = None) -> DataFrame:
     """``carry`` (all columns of docs, if None) and, behind the prefix ``p``, language, posterior, letters and kept.
 
-    ``suffix`` is an expression of the address suffix; the site of a host is its last two labels.
+    ``suffix`` is an expression of the address suffix; the site of a host is its last two
+    labels. Evidence is computed in one scan and written with what is carried along, so that
+    should be little: all that follows works on the written rows.
     """
     spark = docs.sparkSession
     p = free_prefix(docs) if p is None else p
     model = model or fit(docs, key, text, declared)
     n, scratch = len(model.languages), Scratch(spark)
+    carried = list(carry if carry is not None else docs.columns)
     said = F.lower(F.col(declared)) if declared else F.lit(None).cast("string")
     name = F.coalesce(F.col(host), F.lit("")) if host else F.lit("")
     tail = F.coalesce(suffix, F.lit("")) if suffix is not None else F.lit("")
     seen = text_evidence(model)(F.col(text).cast("binary"))
-    have = docs.select(*(carry if carry is not None else docs.columns), seen.alias(f"{p}e"), said.alias(f"{p}declared"), name.alias(f"{p}host"), tail.alias(f"{p}suffix"))
-    best = F.when(F.col("e.letters") > 0, _best(F.col("e.ll"), n)).otherwise(0)
-    facts = docs.select(seen.alias("e"), said.alias("declared"), name.alias("host"), tail.alias("suffix"))
-    facts = facts.select("host", F.regexp_extract("host", r"([^.]*\.?[^.]*)$", 1).alias("site"), "suffix", "declared", best.cast("int").alias("best"))
+    have = scratch.write(docs.select(*carried, seen.alias(f"{p}e"), said.alias(f"{p}declared"), name.alias(f"{p}host"), tail.alias(f"{p}suffix")), "evidence")
+    best = F.when(F.col(f"{p}e.letters") > 0, _best(F.col(f"{p}e.ll"), n)).otherwise(0)
+    facts = have.select(F.col(f"{p}host").alias("host"), F.regexp_extract(f"{p}host", r"([^.]*\.?[^.]*)$", 1).alias("site"), F.col(f"{p}suffix").alias("suffix"), F.col(f"{p}declared").alias("declared"), best.cast("int").alias("best"))
     trust = _gather(facts, model.languages, scratch)
-    out = join_small(have, trust.hosts.withColumnRenamed("host", f"{p}host").withColumnRenamed("prior", f"{p}prior"), f"{p}host", "left", trust.n_hosts)
+    out = _placed(have, trust.hosts.select(F.col("host").alias(f"{p}host"), F.col("prior").alias(f"{p}prior")), f"{p}host")
     if suffix is not None:
-        out = join_small(out, trust.suffixes.withColumnRenamed("suffix", f"{p}suffix").withColumnRenamed("suffix_ll", f"{p}sll"), f"{p}suffix", "left", trust.n_suffixes)
+        out = _placed(out, trust.suffixes.select(F.col("suffix").alias(f"{p}suffix"), F.col("suffix_ll").alias(f"{p}sll")), f"{p}suffix")
     else:
         out = out.withColumn(f"{p}sll", F.lit(None).cast("array<double>"))
     agree, differ = float(np.log(1 - trust.wrong)), float(np.log(trust.wrong / max(1, n - 1)))
@@ -203,13 +220,22 @@ def identify(docs: DataFrame, key: str = "doc_id", text: str = "text", declared:
         out = out.withColumn(f"{p}language", F.lit(None).cast("string")).withColumn(f"{p}posterior", F.lit(0.0))
     out = out.withColumn(f"{p}letters", F.col(f"{p}e.letters"))
     out = out.withColumn(f"{p}kept", (F.col(f"{p}letters") > 0) & (F.col(f"{p}posterior") >= MIN_POSTERIOR))
-    return out.select(*(carry if carry is not None else docs.columns), *[f"{p}{c}" for c in ("language", "posterior", "letters", "kept")])
+    return out.select(*carried, *[f"{p}{c}" for c in ("language", "posterior", "letters", "kept")])
 
 
 def keep_identified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents whose language is known."""
+    """The documents whose language is known.
+
+    Evidence is narrow rows under a 128-bit digest of what it is drawn from; texts stay where
+    they are and lose those whose digest was rejected, of which few are broadcast.
+    """
     p = free_prefix(docs)
-    return identify(docs, p=p).where(F.col(f"{p}kept")).select(*docs.columns)
+    digest = F.struct(*[F.xxhash64(F.lit(i), F.coalesce(F.col("text"), F.lit("")), F.col("text").isNull(), F.coalesce(F.col("lang"), F.lit("")), F.coalesce(F.col("source"), F.lit(""))).alias(f"h{i}") for i in (0, 1)])
+    marked = docs.withColumn(f"{p}d", digest)
+    gone = identify(marked, p=f"{p}_", carry=[f"{p}d"]).where(~F.col(f"{p}_kept")).select(f"{p}d").distinct()
+    gone = Scratch(spark).write(gone, "rejected")
+    few = F.broadcast(gone) if gone.count() <= BROADCAST_BYTES // 64 else gone
+    return marked.join(few, f"{p}d", "left_anti").select(*docs.columns)
 
 
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -96,6 +96,47 @@ def test_rare_languages_are_known_in_large_tables(spark):
     assert [tuple(r) for r in got] == [("de-1996-long-tag", True)]
 
 
+def plain_fusion(model, rows):
+    """(language, posterior, kept) of (text, declared, host, suffix) rows, by loops over all of them."""
+    names, n = model.languages, len(model.languages)
+    seen = [model.evidence((t or "").encode()) for t, *_ in rows]
+    site = lambda h: re.search(r"([^.]*\.?[^.]*)$", h)[1]
+    best = [int(np.argmax(ll)) if letters else None for ll, letters in seen]
+    count = lambda where: np.array([sum(b == i and where(r) for b, r in zip(best, rows)) for i in range(n)], float)
+    whole = (count(lambda r: True) + 1) / (count(lambda r: True) + 1).sum()
+    lean = lambda c, up: (c + language_id.LEAN * up) / (c.sum() + language_id.LEAN)
+    told = [(names.index(r[1].lower()), b) for r, b in zip(rows, best) if b is not None and r[1] and r[1].lower() in names]
+    wrong = min(0.5, (sum(a != b for a, b in told) + 1) / (len(told) + 4))
+    out = []
+    for (ll, letters), (_, declared, host, suffix) in zip(seen, rows):
+        logs = ll.astype(float)
+        host = host or ""
+        mine = count(lambda r: (r[2] or "") == host)
+        if mine.sum():
+            logs = logs + np.log(lean(mine, lean(count(lambda r: site(r[2] or "") == site(host)), whole)))
+        if suffix and (c := count(lambda r: r[3] == suffix)).sum():
+            logs = logs + np.log((c + language_id.SEEN) / (whole + 1e-9))
+        if declared and declared.lower() in names:
+            logs = logs + np.where(np.arange(n) == names.index(declared.lower()), np.log(1 - wrong), np.log(wrong / max(1, n - 1)))
+        sure = 1 / np.exp(logs - logs.max()).sum()
+        out.append((names[int(np.argmax(logs))], sure, bool(letters and sure >= language_id.MIN_POSTERIOR)))
+    return out
+
+
+@pytest.mark.parametrize("size", [1 << 20, -1])
+def test_fusion_equals_plain_loops(spark, monkeypatch, size):
+    monkeypatch.setattr(language_id, "BROADCAST_BYTES", size)
+    docs = [(r.doc_id, r.text, r.lang) for r in read(spark, TINY, "documents").collect()]
+    model = language_id.fit(read(spark, TINY, "documents"), "doc_id", "text", "lang")
+    rng = random.Random(1)
+    hosts = ["a.example.org", "b.example.org", "c.example.net", None]
+    rows = [(i, rng.choice([t, t[:9], "12 3", None]), rng.choice([lang, "en", None, "xx"]), rng.choice(hosts), rng.choice(["org", "fr", None])) for i, t, lang in docs]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, tld string")
+    got = sorted(language_id.identify(df, model=model, suffix=F.col("tld"), p="_", carry=["doc_id"]).collect())
+    for (i, *_), r, (name, sure, kept) in zip(rows, got, plain_fusion(model, [x[1:] for x in rows])):
+        assert (r.doc_id, r._language, r._kept) == (i, name, kept) and r._posterior == pytest.approx(sure, rel=1e-4), rows[i]
+
+
 def test_language_edges(spark):
     model = language_id.fit(read(spark, TINY, "documents"), "doc_id", "text", "lang")
     out = language_id.identify(odd(spark), model=model)
