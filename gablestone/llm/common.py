@@ -12,8 +12,6 @@ from pyspark.sql import functions as F
 #: Rows that a worker turns into Python objects at once. Arrow batches are bounded by bytes
 #: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), so long texts fit as well.
 BATCH_ROWS = 500
-#: Largest number of rows that is broadcast after it has been counted.
-BROADCAST_ROWS = 20_000
 #: Bytes that a file of a gathered table should hold.
 FILE_BYTES = 32 << 20
 
@@ -53,6 +51,8 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark = spark
         self.kept: list[str] = []
+        #: Bytes that a gathered table may have, as far as its owner knows.
+        self.size = 0
         self.root = f"{shared_folder(spark)}/gablestone-{uuid.uuid4().hex}"
         self._fs_path(self.root, on_exit=True)
 
@@ -70,16 +70,16 @@ class Scratch:
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def write_few(self, df: DataFrame, name: str, size: int = 0) -> DataFrame:
-        """As ``write``, for narrow tables of at most ``size`` bytes: gathered into a file for each
+    def write_few(self, df: DataFrame, name: str) -> DataFrame:
+        """As ``write``, for narrow tables of about ``size`` bytes: gathered into a file for each
         ``FILE_BYTES``, but a sixteenth of the shuffle's partitions at least."""
-        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16, -(-size // FILE_BYTES))
+        n = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")) // 16, -(-self.size // FILE_BYTES))
         return self.write(df.repartition(n), name)
 
-    def keep(self, df: DataFrame, size: int = 0) -> DataFrame:
+    def keep(self, df: DataFrame) -> DataFrame:
         """A narrow table that several steps read, written as ``write_few`` does until ``release``."""
         self.kept.append(f"kept-{len(self.kept)}-{uuid.uuid4().hex[:8]}")
-        return self.write_few(df, self.kept[-1], size)
+        return self.write_few(df, self.kept[-1])
 
     def release(self) -> None:
         """Remove what was kept; call it once what depends on it is written."""
@@ -91,11 +91,6 @@ class Scratch:
         fs.delete(p, True)
 
 
-def join_small(left: DataFrame, right: DataFrame, on, how: str, rows: int) -> DataFrame:
-    """Join a table whose row count is known: broadcast up to a bound, shuffle beyond it."""
-    return left.join(F.broadcast(right) if rows <= BROADCAST_ROWS else right, on, how)
-
-
 def first_by_hash(df: DataFrame, key: str, bound: int) -> DataFrame:
     """At most ``bound`` rows, chosen by a hash of the key and so alike in every run."""
     return df.orderBy(F.xxhash64(F.lit(17), F.col(key)), F.col(key)).limit(bound)

@@ -9,6 +9,11 @@ then still apart within a bucket is compared exactly by a second route whose cos
 follow the bucket's size: shingles are ordered by rarity among these sets, and only sets
 that share one of the few rarest - which a link makes necessary - are compared.
 
+Pairs are tested in the join, not after it, and a shingle's sets meet only where their sizes
+are within the threshold, and none within the largest component that is there. What can't
+be avoided is that n sets of one size, all apart and with a rarest shingle in common, are
+n * n / 2 tests of their parity maps, which Spark deals over tasks as a skewed join.
+
 With 32 bands of 5 slots a pair at the threshold of 0.8 shares no band with probability
 3e-6. Links are confirmed on 64-bit hashes of all distinct shingles of both documents.
 
@@ -16,7 +21,7 @@ Defined results: null and empty texts, or those without words, have an empty set
 linked with nothing; fewer words than a shingle are one shingle; rows that share a doc_id
 count as one document, linked with whatever any of its texts is linked with; rows with a
 null doc_id are linked with nothing, have a null component and are kept; an empty table has
-no groups; other columns pass through.
+no groups; very long texts are read whole; other columns pass through.
 """
 
 from __future__ import annotations
@@ -38,6 +43,8 @@ SLOTS, BAND = 160, 5
 THRESHOLD = 80  # percent
 #: Words whose hashes a task remembers, and ids (eight bytes each) that are broadcast, at most.
 MEMORY, BROADCAST_IDS = 200_000, 1_000_000
+#: Bytes of links and members to expect for each row of the table.
+LINK_BYTES = 64
 #: Bits of a set's parity map: those that differ between two maps are at most as many as the
 #: elements that differ between the sets, so a pair with too many of them can't be linked.
 BITS = 512
@@ -144,9 +151,10 @@ class NearDuplicates:
         self.docs = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("binary").alias("t"))
         sketch = self.docs.select("id", sketcher(size)("t").alias("s")).select("id", "s.*")
         self.sketches = self.scratch.write(sketch, "sketches")
+        self.scratch.size = LINK_BYTES * self.sketches.count()
         self.members = self.scratch.write_few(self._group(), "members")
         self.scratch.release()
-        for name in ("reps", "met", "sets", "distinct", "shingles", "rarest"):
+        for name in ("reps", "met", "sets", "distinct", "shingles", "rarest", "sized"):
             self.scratch.drop(name)
 
     def _group(self) -> DataFrame:
@@ -207,14 +215,21 @@ class NearDuplicates:
         ranked = have.join(many, "shingle").withColumn("i", F.row_number().over(Window.partitionBy("id", "h").orderBy("df", "shingle")))
         first = ranked.where((F.col("i") <= F.col("n") - F.ceil(F.col("n") * self.threshold / 100) + 1) & (F.col("df") > 1))
         first = scratch.write(first.select("shingle", "id", "n", "component", "bits", "i"), "rarest")
-        x, y = first.alias("x"), first.alias("y")
+        # Linked sets are of like size: their classes, by powers of the threshold, are the same or next to each other.
+        sized = first.withColumn("c", F.floor(F.log("n") / float(np.log(100 / self.threshold)) + 1e-9))
+        # Whom a key's largest component holds needn't meet there: all others meet everyone.
+        largest = sized.groupBy("shingle", "component").agg(F.count("*").alias("k")).groupBy("shingle").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("k")).where("k > 1").select("shingle", "top")
+        sized = scratch.write(sized.join(largest, "shingle"), "sized")
+        x = sized.where("component != top").alias("x")
+        y = sized.withColumn("c", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1))).alias("y")
         # Sharing the i-th and the j-th leaves at most so many shingles in common (positional bound).
         least = F.ceil((F.col("x.n") + F.col("y.n")) * self.threshold / (100 + self.threshold))
         left = 1 + F.least(F.col("x.n") - F.col("x.i"), F.col("y.n") - F.col("y.i")) + F.least("x.i", "y.i") - 1
         differ = sum((F.bit_count(F.col("x.bits")[k].bitwiseXOR(F.col("y.bits")[k])) for k in range(BITS // 64)), F.lit(0))
-        pairs = x.join(y, F.col("x.shingle") == F.col("y.shingle")).where(
-            (differ <= F.col("x.n") + F.col("y.n") - 2 * least) & (F.col("x.id") < F.col("y.id")) & (F.col("x.component") != F.col("y.component")) & (100 * F.least("x.n", "y.n") >= self.threshold * F.greatest("x.n", "y.n")) & (left >= least))
-        return pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
+        once = (F.col("y.component") == F.col("y.top")) | (F.col("x.id") < F.col("y.id"))
+        near = 100 * F.least("x.n", "y.n") >= self.threshold * F.greatest("x.n", "y.n")
+        pairs = x.join(y, (F.col("x.shingle") == F.col("y.shingle")) & (F.col("x.c") == F.col("y.c")) & once & (F.col("x.component") != F.col("y.component")) & near & (left >= least) & (differ <= F.col("x.n") + F.col("y.n") - 2 * least))
+        return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
     def sets_of(self, ids: DataFrame, n: int) -> DataFrame:
         """(id, set) of these ids, from the texts."""
