@@ -9,10 +9,11 @@ the result is exactly that of merging pairs by rank. Decoding gathers bytes from
 of all tokens through an offset table.
 
 Texts are first cut by the vocabulary's own pattern; pieces that recur within a task are
-remembered (a bounded memory, without effect on results).
+remembered (short ones, in a bounded memory, without effect on results).
 
 Defined results: a null text is encoded as an empty one; an empty text has no tokens; the
-special token's own string is one token, as the library has it; any other column passes.
+special token's own string is one token, as the library has it; very long texts are encoded
+whole; repeated rows are encoded one by one; any other column passes.
 """
 
 from __future__ import annotations
@@ -32,8 +33,8 @@ from pyspark.sql import types as T
 
 from gablestone.llm.common import parts, read
 
-#: Pieces of text that a process remembers in each of two generations; and pairs of tokens.
-MEMORY, PAIRS = 150_000, 400_000
+#: Pieces of text that a process remembers in each of two generations, their characters at most; and pairs of tokens.
+MEMORY, LONGEST, PAIRS = 150_000, 64, 400_000
 #: How texts are cut before merging (fixed by the vocabulary).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -55,7 +56,10 @@ def byte_letters() -> dict[str, int]:
 
 
 class Memory(dict):
-    """Pieces and their token ids as little-endian bytes."""
+    """Pieces and their token ids as little-endian bytes, in two generations.
+
+    Each holds ``MEMORY`` pieces of at most ``LONGEST`` characters, whatever texts are met.
+    """
 
     def __init__(self, encode):
         self.encode, self.old = encode, {}
@@ -65,15 +69,13 @@ class Memory(dict):
         if out is None:
             ids = self.encode(piece.encode("utf-8"))
             out = struct.pack(f"<{len(ids)}I", *ids)
-        self[piece] = out
+        if len(piece) <= LONGEST:
+            if len(self) >= MEMORY:  # what hasn't been met since the last time is forgotten
+                self.old = dict(self)
+                self.clear()
+            self[piece] = out
         return out
 
-    def age(self) -> None:
-        """Forget what hasn't been met since this was last called."""
-        if len(self) > MEMORY:
-            self.old = dict(self)
-            self.clear()
-
 
 class Codec:
     def __init__(self, path: str):
@@ -97,9 +99,10 @@ class Codec:
             a, b = (raw(x) for x in (m.split(" ") if isinstance(m, str) else m))
             t = self.id_of[a + b]
             self.pair_token[self.id_of[a], self.id_of[b]] = t
-            if t not in self.parts:
-                self.parts[t] = self.id_of[a], self.id_of[b]
-                self.rank[t] = r
+            if t in self.parts:
+                raise ValueError("a token has two derivations, but each is taken apart in one way")
+            self.parts[t] = self.id_of[a], self.id_of[b]
+            self.rank[t] = r
         self.length, self.shorter = [0] * self.n, [-1] * self.n
         for i, b in tokens.items():
             self.length[i] = len(b)
@@ -195,7 +198,6 @@ class Codec:
         """Token ids of a whole text as little-endian unsigned 32-bit integers."""
         if not text:
             return b""
-        self.memory.age()
         get = self.memory.__getitem__
         if not any(s in text for s in self.special):
             return b"".join(map(get, self.cut(text)))

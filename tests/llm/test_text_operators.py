@@ -188,7 +188,12 @@ def test_memory_has_no_effect(monkeypatch):
     texts = [f"some {k} words {k * k} again" for k in range(50)]
     want = [c.encode(t) for t in texts]
     monkeypatch.setattr(bpe, "MEMORY", 3)
+    monkeypatch.setattr(bpe, "LONGEST", 5)
+    c.memory.clear()
     assert [c.encode(t) for t in texts] == want
+    # Neither many pieces in one text nor a long piece stay in memory.
+    c.encode(" ".join(f"{k}x{k * 7919}" for k in range(5000)) + "b" * 100_000)
+    assert max(len(c.memory), len(c.memory.old)) <= 3 and all(len(x) <= 5 for x in c.memory)
 
 
 def test_decoding_of_broken_ids(library):
@@ -203,10 +208,12 @@ def test_encoding_edges(spark, library):
     for r in out:
         assert r.back == (r.text or "") and r.t.n_tokens == len(library.encode(r.text or "", add_special_tokens=False).ids)
     assert bpe.tokenise(empty(spark)).count() == 0
-    r = bpe.op6_bpe(spark, TINY).orderBy("doc_id").first()
-    text = read(spark, TINY, "documents").orderBy("doc_id").first().text
-    ids = np.array(library.encode(text, add_special_tokens=False).ids, "<u4")
-    assert (r.n_tokens, r.ids_sha256, r.decoded_sha256) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), hashlib.sha256(text.encode()).hexdigest())
+    want = []
+    for d in read(spark, SMALL, "documents").select("doc_id", "text").collect():
+        ids = library.encode(d.text or "", add_special_tokens=False).ids
+        back = library.decode(ids, skip_special_tokens=False)
+        want.append((d.doc_id, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(back.encode()).hexdigest()))
+    assert sorted(map(tuple, bpe.op6_bpe(spark, SMALL).collect())) == sorted(want)
     assert bpe.encode_documents(spark, odd(spark), TINY).count() == len(ODD)
 
 
