@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import functools
+import gzip
 import hashlib
 import json
 import random
@@ -445,18 +446,62 @@ def test_audit_equals_brute_force(spark):
     assert warc.audit(odd_, odd_).count() == 0 and warc.audit(odd_, odd_.limit(0)).count() == 3
 
 
-def test_records_round_trip(spark, tmp_path):
-    import gzip
+def test_rows_without_a_place_are_spread(spark):
+    rows = [(None, None, f"h{k}") for k in range(200)] + [(None, 7, f"g{k}") for k in range(50)] + [(3, None, "x")] * 4
+    kind = "file long, offset long, hash string"
+    a, b = spark.createDataFrame(rows, kind), spark.createDataFrame(rows[5:248] + rows[251:], kind)
+    sizes = [r.n for r in warc.leaves(a).groupBy("file", F.shiftright("place", warc.LEAF_BITS)).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 2 and len(sizes) > 240
+    got = Counter((r.file, r.offset, r.left_hash, r.status) for r in warc.audit(a, b).collect())
+    assert got == Counter([(-1, -1, f"h{k}", "missing") for k in range(5)] + [(-1, 7, f"g{k}", "missing") for k in (48, 49)] + [(3, -1, "x", "missing")])
+
 
-    pages = [("http://a/1", "<p>é\r\n\r\nWARC/1.1</p>"), ("http://a/2", ""), (None, None), ("http://a/3", "x" * 100_000)]
-    df = spark.createDataFrame(pages, "url string, html string").select(warc.record(F.lit("response"), F.col("url"), F.col("html")).alias("r"))
+def test_records_round_trip(spark, tmp_path):
+    pages = [("http://a/1", "<p>é\r\n\r\nWARC/1.1\r\n</p>"), ("http://a/2", ""), (None, None), ("http://a/3", "x" * 100_000), ("http://a/3", "x" * 100_000)]
+    df = spark.createDataFrame(pages, "url string, html string").select(warc.record(F.lit("response"), F.col("url"), F.col("html"), F.lit("2024-05-06T07:08:09Z")).alias("r"))
     raw = [r.r.encode() for r in df.collect()]
     (tmp_path / "a.warc").write_bytes(b"".join(raw))
     (tmp_path / "b.warc.gz").write_bytes(b"".join(map(gzip.compress, raw)))
-    for name in ("a.warc", "b.warc.gz"):
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(b"".join(raw)))
+    for name in ("a.warc", "b.warc.gz", "c.warc.gz"):
         got = warc.read_warc(spark, str(tmp_path / name)).orderBy("offset").collect()
         assert [(r.uri, bytes(r.body).decode()) for r in got] == [(u or "", h or "") for u, h in pages]
-        assert [r.length for r in got] == list(map(len, raw))
+        assert [r.length for r in got] == list(map(len, raw)) and [r.offset for r in got] == [sum(map(len, raw[:i])) for i in range(len(raw))]
+        assert [r.sha256 for r in got] == [hashlib.sha256(x).hexdigest() for x in raw] and not any(r.fault for r in got)
+    for how in ("gzip", "none"):
+        warc.write_warc(df.repartition(2), str(tmp_path / how), how)
+        got = warc.read_warc(spark, str(tmp_path / how)).collect()
+        assert sorted(r.sha256 for r in got) == sorted(hashlib.sha256(x).hexdigest() for x in raw) and len({r.file for r in got}) == 2
+    heads = raw[0].split(b"\r\n\r\n")[0].decode().split("\r\n")
+    assert heads[0] == "WARC/1.1" and {h.split(":")[0] for h in heads[1:]} == {"WARC-Type", "WARC-Record-ID", "WARC-Date", "WARC-Target-URI", "Content-Length"}
+
+
+def test_broken_files_are_findings(spark, tmp_path, monkeypatch):
+    made = lambda k, body: f"WARC/1.1\r\nWARC-Type: response\r\nContent-Length: {len(body)}\r\n\r\n".encode() + body + b"\r\n\r\n"
+    r = [made(k, bytes([65 + k]) * 50) for k in range(6)]
+    faults = lambda data: [(length, fault) for _, length, _, _, _, fault in warc.records_of(data)]
+    n = len(r[0])
+    for chunk in (7, 64, 1 << 20):
+        monkeypatch.setattr(warc, "CHUNK", chunk)
+        assert faults(b"") == [] and faults(b"\r\n") == []
+        assert faults(b"just garbage, no record at all") == [(30, "no record")]
+        assert faults(r[0] + b"junk between\n" + r[1]) == [(n, None), (13, "no record"), (n, None)]
+        bad = r[1].replace(b"Content-Length: 50", b"Content-Length: 5x")
+        assert faults(r[0] + bad + r[2]) == [(n, None), (n, "bad length"), (n, None)]
+        low = r[1].replace(b"Content-Length: 50", b"Content-Length: 20")
+        assert [f for _, f in faults(r[0] + low + r[2])] == [None, "bad length", "no record", None]
+        assert faults(r[0] + r[1][:-30]) == [(n, None), (n - 30, "cut short")]
+        assert faults(r[0] + r[1][:20]) == [(n, None), (20, "cut short")]
+        z = [gzip.compress(x, mtime=0) for x in r]
+        assert faults(b"".join(z)) == [(n, None)] * 6
+        hurt = z[2][:30] + bytes([z[2][30] ^ 255]) + z[2][31:]
+        got = faults(b"".join([*z[:2], hurt, *z[3:]]))
+        assert [x for x in got if not x[1]][:2] == [(n, None)] * 2 and got[-3:] == [(n, None)] * 3 and any(f == "broken member" for _, f in got)
+        assert faults(z[0] + z[1][:-12])[0] == (n, None) and faults(z[0] + z[1][:-12])[-1][1] == "broken member"
+    (tmp_path / "bad").write_bytes(b"nothing")
+    (tmp_path / "ok").write_bytes(r[0])
+    got = {(x.length, x.fault) for x in warc.read_warc(spark, str(tmp_path)).collect()}
+    assert got == {(7, "no record"), (n, None)}
 
 
 # --- pipeline -----------------------------------------------------------------------------
