@@ -6,9 +6,11 @@ are set aside and the next rule is grown on the rest. The list is emitted as one
 Spark conditional expression, so applying it needs no Python.
 
 Defined results: a null or empty text has zero words and is rejected by the base rules;
-rows with null labels are not learned from; without labels of both kinds the list is empty
-and keeps whatever passes the base rules; other columns pass through untouched; repeated
-rows are judged one by one.
+rows with null labels are not learned from, and a doc_id with both labels counts under each;
+without labels of both kinds the list is empty and keeps whatever passes the base rules; of
+equal gains the first statistic and the lowest threshold is taken; other columns pass through
+untouched, and as results stand behind a prefix that no column has, names can't clash;
+repeated rows are judged one by one; very long texts are read whole.
 """
 
 from __future__ import annotations
@@ -125,17 +127,18 @@ def learn(x: np.ndarray, y: np.ndarray, names: list[str], min_precision: float =
     rules: list[Rule] = []
     part = np.arange(len(y)) % 3
     grow, prune = part < 2, part == 2
-    left = np.ones(len(y), bool)
-    while len(rules) < max_rules and y[left & grow].any() and y[left & prune].any():
-        xs, ys = x[left & grow], y[left & grow]
+    left, open_ = np.ones(len(y), bool), np.ones(len(y), bool)
+    while len(rules) < max_rules and y[left & open_ & grow].any() and y[left & open_ & prune].any():
+        xs, ys = x[left & open_ & grow], y[left & open_ & grow]
         cuts = [np.unique(np.quantile(xs[:, j], np.linspace(0, 1, n_cuts), method="nearest")) for j in range(len(names))]
-        tests = _prune(_grow(xs, ys, names, cuts, max_tests), x[left & prune], y[left & prune], names)
-        if not tests:
-            break
+        tests = _prune(_grow(xs, ys, names, cuts, max_tests), x[left & open_ & prune], y[left & open_ & prune], names)
         m = _mask(x, names, tests) & left
+        if not tests or not (m & open_).any():
+            break
         covered, right = int((m & prune).sum()), int((m & prune & y).sum())
         if covered < min_covered or right < min_precision * covered or int((m & y).sum()) < min_precision * int(m.sum()):
-            break
+            open_ &= ~m  # not precise enough: the next rule is grown on what it doesn't cover
+            continue
         rules.append(Rule(tuple(tests), covered, right))
         left &= ~m
     return DecisionList(rules)
