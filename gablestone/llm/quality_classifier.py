@@ -12,7 +12,9 @@ statistics are computed once, in one scan, and written as a narrow table.
 Defined results: null and empty texts have the statistics of no words and are scored; rows
 without a label are only scored; labels other than 0 and 1 are ignored; where a class has
 too few rows its covariance is the pooled one, and without rows the score is the prior;
-repeated rows are scored one by one; a null doc_id isn't held out nor learned from.
+repeated rows are scored one by one, and learned from as often as they and their labels
+repeat; a null doc_id isn't held out nor learned from; very long texts are read whole; only
+the key and the text of a table are read, so other columns and their names have no effect.
 """
 
 from __future__ import annotations
@@ -71,15 +73,20 @@ def fold(key: str) -> Column:
 
 @dataclass(frozen=True)
 class Gaussian:
-    """A class: log of its prior, mean, and Cholesky factor of the inverse covariance's square."""
+    """A class: log of its prior, mean, and what its covariance's Cholesky factor gives once for all rows."""
 
     log_prior: float
     mean: np.ndarray
-    factor: np.ndarray
+    whiten: np.ndarray  # inverse of the factor
     log_det: float
 
+    @classmethod
+    def of(cls, prior: float, mean: np.ndarray, covariance: np.ndarray) -> Gaussian:
+        factor = np.linalg.cholesky(covariance)
+        return cls(float(np.log(prior)), mean, np.linalg.inv(factor), float(2 * np.log(np.diag(factor)).sum()))
+
     def log_density(self, x: np.ndarray) -> np.ndarray:
-        z = np.linalg.solve(self.factor, (x - self.mean).T)
+        z = self.whiten @ (x - self.mean).T
         return self.log_prior - 0.5 * (self.log_det + (z * z).sum(0))
 
 
@@ -136,8 +143,7 @@ def fit(rows: DataFrame, label: str, columns: list[str], pool: float = POOL, ide
         own = 1 - pool if n[k] > d else 0.0
         s = own * cov[k] + (1 - own) * pooled
         s = (1 - identity) * s + identity * max(np.trace(s) / d, 1e-3) * np.eye(d)
-        factor = np.linalg.cholesky(s)
-        classes.append(Gaussian(float(np.log(n[k] / n.sum())), (means[k] - centre) / scale, factor, float(2 * np.log(np.diag(factor)).sum())))
+        classes.append(Gaussian.of(n[k] / n.sum(), (means[k] - centre) / scale, s))
     return Model(scale, centre, (classes[0], classes[1]), float(n[1] / n.sum()))
 
 
