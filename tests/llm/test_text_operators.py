@@ -72,6 +72,67 @@ def test_rules_reject_junk_and_keep_the_rest(spark):
     assert out.count() == read(spark, SMALL, "documents").count()
 
 
+def plain_features(text):
+    """The statistics that rules test, straight from a text."""
+    t = text or ""
+    words = re.findall(r"[^\x20\x09-\x0D]+", t)
+    lines = [x for x in t.split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    n, chars, symbols, dup, repeat = slow_stats(t)
+    upper, lower, digits = (len(re.findall(p, t)) for p in ("[A-Z]", "[a-z]", "[0-9]"))
+    marks = len(re.findall(r"[!-/:-@\[-`{-~]", t))
+    r = lambda a, b: a / b if b else 0.0
+    return {
+        "n_words": float(n), "mean_word_chars": r(chars, n), "symbols_per_word": r(symbols, n), "dup_line_share": r(dup, len(lines)), "repeat_share": r(repeat, n), "upper_share": r(upper, upper + lower),
+        "digit_share": r(digits, chars), "mark_share": r(marks, chars), "distinct_share": r(len(set(words)), n), "capital_share": r(sum("A" <= w[0] <= "Z" for w in words), n), "ends_per_word": r(len(re.findall(r"\.[ \n]", t)) + t.endswith("."), n),
+    }
+
+
+def test_verdicts_equal_brute_force(spark):
+    """base_failed and kept of every row, by plain statistics and the learned list read as text."""
+    docs = read(spark, SMALL, "documents")
+    rules = quality_rules.fit(docs, read(spark, SMALL, "labels"))
+    assert rules.rules
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    for r in quality_rules.op1_quality_rules(spark, SMALL).collect():
+        f = plain_features(texts[r.doc_id])
+        n, chars, symbols, dup, repeat = slow_stats(texts[r.doc_id])
+        first = next((i for i, x in enumerate(rules.rules, 1) if all(f[a] >= c if op == ">=" else f[a] <= c for a, op, c in x.tests)), None)
+        base = n < 50 or 100 * repeat > 50 * n
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (n, chars, symbols, dup, repeat)
+        assert (r.base_failed, r.kept, r.rule) == (base, not base and first is None, first)
+
+
+def test_growing_takes_the_best_condition():
+    rng = np.random.default_rng(7)
+    for _ in range(20):
+        x = rng.integers(0, 6, (60, 3)).astype(float)
+        y = (x[:, 1] > 3) ^ (rng.random(60) < 0.1)
+        cuts = [np.unique(x[:, j]) for j in range(3)]
+        name, op, cut = quality_rules._grow(x, y, ["a", "b", "c"], cuts, 1)[0]
+
+        def gain(j, op, cut):
+            m = x[:, j] >= cut if op == ">=" else x[:, j] <= cut
+            p, n = y[m].sum(), m.sum()
+            return p * (np.log2(p / n) - np.log2(y.mean())) if p and n < len(y) else -1
+
+        best = max(gain(j, o, c) for j in range(3) for o in (">=", "<=") for c in cuts[j])
+        assert gain("abc".index(name), op, cut) == pytest.approx(best)
+
+
+def test_an_imprecise_rule_is_passed_over():
+    """The most gainful rule is wrong on the other third; the next one is still found."""
+    n = 3000
+    part = np.arange(n) % 3
+    a = np.zeros(n)
+    a[:1200] = 1.0
+    y = (a == 1) & (part < 2)  # holds where rules are grown, never where they are pruned
+    b = np.zeros(n)
+    b[2400:2600] = 1.0
+    y |= b == 1
+    found = quality_rules.learn(np.column_stack([a, b]), y, ["a", "b"])
+    assert [r.tests for r in found.rules] == [(("b", ">=", 1.0),)]
+
+
 def test_rules_on_odd_rows(spark):
     rules = quality_rules.DecisionList([])
     out = quality_rules.judge(odd(spark), rules, p="__").select("doc_id", "__stats.n_words", "__base_failed", "__kept").collect()
@@ -350,13 +411,47 @@ def test_held_out_labels_are_not_learned_from(spark):
     assert np.array_equal(a, b)
 
 
-def test_scores_equal_plain_densities():
-    rng = np.random.default_rng(2)
-    m = quality_classifier.Gaussian(np.log(0.3), np.array([1.0, 2.0]), np.linalg.cholesky(np.array([[2.0, 0.5], [0.5, 1.0]])), float(np.log(1.75)))
-    x = rng.normal(size=(5, 2))
-    inv = np.linalg.inv(np.array([[2.0, 0.5], [0.5, 1.0]]))
-    want = [np.log(0.3) - 0.5 * (np.log(1.75) + (v - m.mean) @ inv @ (v - m.mean)) for v in x]
-    assert np.allclose(m.log_density(x), want)
+def test_scores_equal_plain_densities(spark):
+    """Every score of the query, by plain sums, inverses and determinants over all labelled rows."""
+    labels = {}
+    for r in read(spark, SMALL, "labels").collect():
+        labels.setdefault(r.doc_id, []).append(r.quality)
+    docs = {r.doc_id: r.text for r in read(spark, SMALL, "documents").collect()}
+    q = quality_classifier
+
+    def row(text):
+        c = dict(zip(textstats.COUNTS, textstats.stats(text)))
+        share = lambda a, b, usual, w=q.PSEUDO: np.sqrt((a + usual * w) / (b + w))
+        n, chars, lines = c["n_words"], c["word_chars"], c["n_lines"]
+        return [
+            np.log1p(max(n, q.PSEUDO)), (chars + 5 * q.PSEUDO) / (n + q.PSEUDO), min(share(c["n_symbols"], n, 0), 2), share(c["n_dup_lines"], lines, 0), share(c["n_repeat_words"], n, 0),
+            share(c["n_upper"], c["n_upper"] + c["n_lower"], 0.03, 5 * q.PSEUDO), share(c["n_digits"], chars, 0, 5 * q.PSEUDO), share(c["n_marks"], chars, 0.03, 5 * q.PSEUDO),
+            share(c["n_distinct_words"], n, 0.8), share(c["n_capital_words"], n, 0.12), share(c["n_ends"], n, 0.1), np.log1p((n + 30) / (lines + 1)),
+        ]
+
+    x = {i: np.array(row(t)) for i, t in docs.items()}
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 0
+    rows = {k: np.array([x[i] for i, ls in labels.items() for y in ls if y == k and i in x and not held(i)]) for k in (0, 1)}
+    every = np.concatenate([rows[0], rows[1]])
+    centre, scale = every.mean(0), every.std(0)
+    scale[scale <= 1e-9] = 1
+    z = {k: (v - centre) / scale for k, v in rows.items()}
+    cov = {k: np.cov(v.T, bias=True) for k, v in z.items()}
+    pooled = sum(len(z[k]) * cov[k] for k in z) / len(every)
+    d = len(centre)
+
+    def density(k, v):
+        own = 1 - q.POOL if len(z[k]) > d else 0
+        s = own * cov[k] + (1 - own) * pooled
+        s = (1 - q.IDENTITY) * s + q.IDENTITY * np.trace(s) / d * np.eye(d)
+        u = (v - centre) / scale - z[k].mean(0)
+        return np.log(len(z[k]) / len(every)) - 0.5 * (np.log(np.linalg.det(s)) + u @ np.linalg.inv(s) @ u)
+
+    got = q.op10_quality_classifier(spark, SMALL).collect()
+    assert len(got) == len(docs)
+    for r in got:
+        assert r.score == pytest.approx(1 / (1 + np.exp(density(0, x[r.doc_id]) - density(1, x[r.doc_id]))), abs=1e-6)
+        assert (r.held_out, r.predicted) == (held(r.doc_id), int(r.score >= 0.3))
 
 
 def test_classifier_edges(spark):
