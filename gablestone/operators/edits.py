@@ -45,11 +45,24 @@ class Layer:
         staged = f"{self.path}/.{uuid.uuid4().hex}"
         rows.write.parquet(staged)
         fs, target = self._fs(f"{self.path}/v{number}")
+        claim = self._fs(f"{self.path}/.claim-{number}")[1]
+        try:
+            fs.create(claim, False).close()  # fails where there is one: a number is published by one save only
+        except Exception as e:
+            fs.delete(self._fs(staged)[1], True)
+            raise ValueError(f"version {number} is saved by another edit; if that was broken off, release({number})") from e
         if fs.exists(target) or not fs.rename(self._fs(staged)[1], target):
             fs.delete(self._fs(staged)[1], True)
             raise ValueError(f"version {number} was saved meanwhile")
         return number
 
+    def release(self, number: int) -> None:
+        """Give up a number that was claimed but not published."""
+        fs, target = self._fs(f"{self.path}/v{number}")
+        if fs.exists(target):
+            raise ValueError(f"version {number} is published")
+        fs.delete(self._fs(f"{self.path}/.claim-{number}")[1], False)
+
     def undo(self) -> int:
         """Drop the newest version; the one before it is read again."""
         found = self.versions()
@@ -57,6 +70,7 @@ class Layer:
             raise ValueError("there is nothing to go back to")
         fs, p = self._fs(f"{self.path}/v{found[-1]}")
         fs.delete(p, True)
+        self.release(found[-1])
         return found[-2]
 
 

@@ -23,13 +23,16 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float = 10.
     """(fid, point columns) of points inside polygons with holes, in one plane.
 
     Polygons are dealt to the grid cells that their bounds meet, points to their own, so
-    this is an equi-join on cells with an exact test behind it, for any number of polygons.
+    this is an equi-join on cells with the bounds and the exact test behind it, for any
+    number of polygons.
     """
     corner = lambda f, c: f(F.transform(F.element_at("rings", 1), lambda p: p[c]))
-    boxed = polygons.select("fid", "rings", *[F.floor(corner(f, c) / cell).alias(f"{n}{c}") for c in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))])
-    cells = boxed.withColumn("cx", F.explode(F.sequence("lox", "hix"))).withColumn("cy", F.explode(F.sequence("loy", "hiy"))).select("fid", "rings", "cx", "cy")
-    have = points.withColumn("cx", F.floor(F.col("x") / cell)).withColumn("cy", F.floor(F.col("y") / cell))
-    found = have.join(cells, ["cx", "cy"]).where(in_polygon(F.col("x"), F.col("y"), F.col("rings")))
+    boxed = polygons.select("fid", "rings", *[corner(f, c).alias(f"_{n}{c}") for c in "xy" for n, f in (("lo", F.array_min), ("hi", F.array_max))])
+    over = lambda c: F.explode(F.sequence(F.floor(F.col(f"_lo{c}") / cell), F.floor(F.col(f"_hi{c}") / cell)))
+    cells = boxed.withColumn("_cx", over("x")).withColumn("_cy", over("y"))
+    have = points.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    boxed_in = F.col("x").between(F.col("_lox"), F.col("_hix")) & F.col("y").between(F.col("_loy"), F.col("_hiy"))
+    found = have.join(cells, ["_cx", "_cy"]).where(boxed_in).where(in_polygon(F.col("x"), F.col("y"), F.col("rings")))
     return found.select("fid", *points.columns)
 
 

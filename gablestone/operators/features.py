@@ -11,12 +11,19 @@ from gablestone.functions.geometry import ring_area2
 def near_boxes(queries: DataFrame, boxes: DataFrame, radius: float) -> DataFrame:
     """queries (qid, qx, qy) with the boxes (fid, x0, y0, x1, y1) whose bounds are within the radius.
 
-    Both are dealt to cells of the radius' size, so this is an equi-join with a check behind it.
+    Boxes are dealt to cells of a level of their own size, of which a box with its margin
+    meets four at most; queries go to their cell of each level that there is. So this is an
+    equi-join with a check behind it, whatever the sizes of boxes are.
     """
-    cell = lambda c: F.floor(c / radius)
-    b = boxes.withColumn("cx", F.explode(F.sequence(cell(F.col("x0") - radius), cell(F.col("x1") + radius)))).withColumn("cy", F.explode(F.sequence(cell(F.col("y0") - radius), cell(F.col("y1") + radius))))
-    q = queries.withColumn("cx", cell(F.col("qx"))).withColumn("cy", cell(F.col("qy")))
-    return q.join(b, ["cx", "cy"]).drop("cx", "cy")
+    wide = F.greatest(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) + 2 * radius
+    b = boxes.withColumn("_level", F.greatest(F.lit(0), F.ceil(F.log2(wide / radius)).cast("int")))
+    levels = [r[0] for r in b.select("_level").distinct().collect() if r[0] is not None]  # as many as sizes have doubled
+    size = lambda: radius * F.pow(F.lit(2.0), F.col("_level"))
+    over = lambda lo, hi: F.explode(F.sequence(F.floor((F.col(lo) - radius) / size()), F.floor((F.col(hi) + radius) / size())))
+    b = b.withColumn("_cx", over("x0", "x1")).withColumn("_cy", over("y0", "y1"))
+    q = queries.withColumn("_level", F.explode(F.array(*map(F.lit, levels)).cast("array<int>")))
+    q = q.withColumn("_cx", F.floor(F.col("qx") / size())).withColumn("_cy", F.floor(F.col("qy") / size()))
+    return q.join(b, ["_level", "_cx", "_cy"]).drop("_level", "_cx", "_cy")
 
 
 def box_distance() -> Column:

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from gablestone.functions.geometry import cross, dot, floor_key, minus, ring_area2
+from gablestone.operators import fitting as fit
 
 #: Height of an extrusion without a positive one, by the place that asks for it.
 DEFAULT_HEIGHT = {"build": 3.0, "update": 5.0, "rebuild": 10.0, "side_view": 10.0}
@@ -22,24 +26,38 @@ def shell(ring: Column) -> Column:
     return F.when(ring_area2(ring) < 0, F.reverse(open_)).otherwise(open_)
 
 
+@F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
+def _ears(shells: pa.Array) -> pa.Array:
+    """Vertex numbers, from 1, of the triangles of simple rings; null for rings that cross themselves."""
+    out = []
+    for v in shells.to_pylist():
+        ring = np.array([(p["x"], p["y"]) for p in [*v, v[0]]], float)
+        out.append([[a + 1, b + 1, c + 1] for a, b, c in fit.ear_clip(ring)] if fit.simple(ring) else None)
+    return pa.array(out, pa.list_(pa.list_(pa.int32())))
+
+
 def extrude(footprints: DataFrame, height: str = "height", mode: str = "build") -> DataFrame:
-    """(fid, tid, ax .. cz) of a prism over each convex footprint ``ring``.
+    """(fid, tid, ax .. cz) of a prism over each footprint ``ring``.
 
-    Two triangles a side, then a fan on top and one, reversed, at the bottom: 2n + 2(n - 2)
-    for a ring of n vertices. Concave rings are for the ear clipping in ``fitting``.
+    Two triangles a side, then one on top and one, reversed, at the bottom for each triangle
+    of the ring: 2n + 2(n - 2) for n vertices. Convex rings are fans; only the others are
+    clipped ear by ear. A ring that crosses itself has no prism.
     """
     f = footprints.where(F.size("ring") > 3).select("fid", shell(F.col("ring")).alias("v"), height_or_default(F.col(height), mode).alias("h"))
     f = f.withColumn("n", F.size("v"))
     at = lambda i: F.element_at(F.col("v"), i)
+    nxt = lambda i: i % F.col("n") + 1
+    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
+    convex = F.forall(F.sequence(F.lit(1), F.col("n")), lambda i: turn(at(i), at(nxt(i)), at(nxt(nxt(i)))) >= -1e-12)
+    fan = F.transform(F.sequence(F.lit(2), F.col("n") - 1), lambda i: F.array(F.lit(1), i, i + 1))
+    f = f.where(convex).withColumn("ears", fan).unionByName(f.where(~convex).withColumn("ears", _ears("v"))).where("ears is not null")
     pt = lambda i, z, n: [at(i)["x"].alias(f"{n}x"), at(i)["y"].alias(f"{n}y"), z.alias(f"{n}z")]
     lo, hi = F.lit(0.0), F.col("h")
     tri = lambda tid, *p: F.struct(tid.cast("long").alias("tid"), *[c for (i, z), n in zip(p, "abc") for c in pt(i, z, n)])
-    nxt = lambda i: i % F.col("n") + 1
     sides = F.transform(F.sequence(F.lit(1), F.col("n")), lambda i: F.array(
         tri(2 * i - 2, (i, lo), (nxt(i), lo), (i, hi)), tri(2 * i - 1, (i, hi), (nxt(i), lo), (nxt(i), hi))))
-    one = F.lit(1)
-    caps = F.transform(F.sequence(F.lit(2), F.col("n") - 1), lambda i: F.array(
-        tri(2 * F.col("n") + 2 * i - 4, (one, hi), (i, hi), (i + 1, hi)), tri(2 * F.col("n") + 2 * i - 3, (one, lo), (i + 1, lo), (i, lo))))
+    caps = F.transform("ears", lambda e, k: F.array(
+        tri(2 * F.col("n") + 2 * k, (e[0], hi), (e[1], hi), (e[2], hi)), tri(2 * F.col("n") + 2 * k + 1, (e[0], lo), (e[2], lo), (e[1], lo))))
     return f.select("fid", F.explode(F.flatten(F.concat(sides, caps))).alias("t")).select("fid", "t.*")
 
 

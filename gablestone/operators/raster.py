@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -52,16 +54,19 @@ def tile_bounds(tiles_: DataFrame, grids_: DataFrame, r: float = 0.5, by: str =
 def tile_points(in_cells: DataFrame, tiles_: DataFrame, bounds: DataFrame, side: int, r: float, halo: float, by: str = "fid") -> DataFrame:
     """Points with every tile whose bounds widened by the halo hold them, and whether they are in its core.
 
-    A point is dealt to the few tiles around its own by equality; the bounds are checked then.
+    A point goes to its own tile, and as a copy only to those whose border is within the halo;
+    tiles meet by equality, and the bounds are checked then.
     """
-    reach = int(-(-halo // (side * r)))
-    near = F.explode(F.sequence(F.lit(-reach), F.lit(reach)))
-    p = in_cells.withColumn("_tr", F.floor(F.col("row") / side)).withColumn("_tc", F.floor(F.col("col") / side))
-    p = p.withColumn("_dr", near).withColumn("_dc", near).withColumn("_r0", (F.col("_tr") + F.col("_dr")) * side).withColumn("_c0", (F.col("_tc") + F.col("_dc")) * side)
+    width = side * r
+    near = lambda v, most: F.explode(F.sequence(F.greatest(F.lit(0).cast("long"), F.ceil((v - halo) / width - 1e-9).cast("long") - 1), F.least(most, F.floor((v + halo) / width + 1e-9).cast("long"))))
     t = bounds.select(F.col(by).alias("_k"), "tile_id", F.col("row0").alias("_r0"), F.col("col0").alias("_c0"), "xmin", "xmax", "ymin", "ymax")
+    g = bounds.groupBy(F.col(by).alias("_g")).agg(F.min("xmin").alias("_x0"), F.max("ymax").alias("_y1"), F.max("row0").alias("_rm"), F.max("col0").alias("_cm"))
+    p = in_cells.join(g, in_cells[by] == g["_g"])
+    p = p.withColumn("_tr", near(F.col("_y1") - F.col("y"), (F.col("_rm") / side).cast("long"))).withColumn("_tc", near(F.col("x") - F.col("_x0"), (F.col("_cm") / side).cast("long")))
     inside = (F.col("x") >= F.col("xmin") - halo) & (F.col("x") <= F.col("xmax") + halo) & (F.col("y") >= F.col("ymin") - halo) & (F.col("y") <= F.col("ymax") + halo)
-    met = p.join(t, (p[by] == t["_k"]) & (p["_r0"] == t["_r0"]) & (p["_c0"] == t["_c0"])).where(inside)
-    return met.select(*in_cells.columns, "tile_id", ((F.col("_dr") == 0) & (F.col("_dc") == 0)).alias("core"))
+    met = p.join(t, (p[by] == t["_k"]) & (p["_tr"] * side == t["_r0"]) & (p["_tc"] * side == t["_c0"])).where(inside)
+    core = (F.col("_tr") == F.floor(F.col("row") / side)) & (F.col("_tc") == F.floor(F.col("col") / side))
+    return met.select(*in_cells.columns, "tile_id", core.alias("core"))
 
 
 def tile_stats(with_tiles: DataFrame, building: Column, by: str = "fid") -> DataFrame:
@@ -82,24 +87,45 @@ def disc(radius: float, r: float) -> list[tuple[int, int]]:
     return [(i, j) for i in range(-n, n + 1) for j in range(-n, n + 1) if (i * i + j * j) * r * r <= radius * radius + 1e-10]
 
 
-def closing(mask_: DataFrame, grids_: DataFrame, radius: float, r: float = 0.5, by: str = "fid") -> DataFrame:
+def closing(mask_: DataFrame, grids_: DataFrame, radius: float, r: float = 0.5, by: str = "fid", side: int = 256) -> DataFrame:
     """(by, row, col) of the building cells after closing with a disc.
 
-    The mask is padded by its edge values; dilation is an explode over the disc, erosion
-    keeps cells whose whole disc was dilated.
+    The mask is padded by its edge values. Cells are gathered by square tiles, with copies
+    of those near a border only, and each tile is closed on its own: a group has a bounded
+    number of cells, however large a grid is.
     """
     d = disc(radius, r)
-    pad = int(-(-radius // r)) + 1
-    g = grids_.select(by, "width", "height")
-    cell = mask_.where("mask = 2").select(by, "row", "col").join(g, by)
-    # An edge cell stands for the padded cells beyond it.
-    spread = lambda c, n: F.when((F.col(c) == 0) & (F.col(n) == 1), F.sequence(F.lit(-pad).cast("long"), F.lit(pad).cast("long"))).when(F.col(c) == 0, F.sequence(F.lit(-pad).cast("long"), F.lit(0).cast("long"))).when(F.col(c) == F.col(n) - 1, F.sequence(F.col(c), F.col(c) + pad)).otherwise(F.array(F.col(c)))
-    padded = cell.select(by, "width", "height", F.explode(spread("row", "height")).alias("row"), "col").select(by, "width", "height", "row", F.explode(spread("col", "width")).alias("col"))
-    offsets = lambda: F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j")) for i, j in d])).alias("o")
-    grown = padded.select(by, "width", "height", "row", "col", offsets()).select(by, "width", "height", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col")).distinct()
-    votes = grown.select(by, "width", "height", "row", "col", offsets()).select(by, "width", "height", (F.col("row") + F.col("o.i")).alias("row"), (F.col("col") + F.col("o.j")).alias("col"))
-    kept = votes.groupBy(by, "width", "height", "row", "col").agg(F.count("*").alias("n")).where(F.col("n") == len(d))
-    return kept.where("row >= 0 and col >= 0 and row < height and col < width").select(by, "row", "col")
+    n = max(i for i, _ in d)
+    pad, reach = int(-(-radius // r)) + 1, 2 * n
+    cell = mask_.where("mask = 2").select(by, "row", "col").distinct().join(grids_.select(by, "width", "height"), by)
+    near = lambda c, size: F.explode(F.sequence(F.greatest(F.floor((F.col(c) - reach) / side), F.lit(0).cast("long")), F.least(F.floor((F.col(c) + reach) / side), F.floor((F.col(size) - 1) / side))))
+    dealt = cell.withColumn("_tr", near("row", "height")).withColumn("_tc", near("col", "width"))
+
+    def one(t: pa.Table) -> pa.Table:
+        get = lambda c: t.column(c)[0].as_py()
+        frame = []
+        for tile, size in (("_tr", "height"), ("_tc", "width")):
+            at = np.arange(get(tile) * side - reach, (get(tile) + 1) * side + reach)
+            frame.append((at, np.clip(at, 0, get(size) - 1), (at >= -pad) & (at <= get(size) - 1 + pad)))
+        (rows, from_r, ok_r), (cols, from_c, ok_c) = frame
+        given = np.zeros((len(rows), len(cols)), bool)
+        given[t.column("row").to_numpy() - rows[0], t.column("col").to_numpy() - cols[0]] = True
+        # Places outside the grid show its nearest edge, as far as it is padded.
+        seen = given[np.ix_(from_r - rows[0], from_c - cols[0])] & ok_r[:, None] & ok_c[None, :]
+        h, w = len(rows) - 2 * n, len(cols) - 2 * n
+        grown = np.zeros((h, w), bool)
+        for i, j in d:
+            grown |= seen[n + i : n + i + h, n + j : n + j + w]
+        h, w = h - 2 * n, w - 2 * n
+        kept = np.ones((h, w), bool)
+        for i, j in d:
+            kept &= grown[n + i : n + i + h, n + j : n + j + w]
+        a, b = np.nonzero(kept)
+        a, b = a + rows[0] + reach, b + cols[0] + reach
+        a, b = a[ok := (a < get("height")) & (b < get("width"))], b[ok]
+        return pa.table({by: pa.array([get(by)] * len(a), t.schema.field(by).type), "row": pa.array(a, pa.int64()), "col": pa.array(b, pa.int64())})
+
+    return dealt.groupBy(by, "_tr", "_tc").applyInArrow(one, f"{by} {dict(mask_.dtypes)[by]}, row long, col long")
 
 
 def touches_edge(boxes: DataFrame, grids_: DataFrame, r: float = 0.5, by: str = "fid") -> DataFrame:

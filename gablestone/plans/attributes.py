@@ -12,7 +12,7 @@ from gablestone.sources.derived import table
 def _markers(spark, sf):
     """Orders as legacy markers of their customer modulo 500."""
     words = F.array(*[F.lit(w) for w in ("Ridge line", "roof VERTEX", "surface", "not ground", "outline")])
-    o = table(spark, sf, "orders").where("o_orderkey % 7 < 3")
+    o = table(spark, sf, "orders")
     return o.select((F.col("o_custkey") % 997).alias("fid"), F.element_at(words, (F.col("o_orderkey") % 5 + 1).cast("int")).alias("marker"))
 
 
@@ -159,7 +159,7 @@ _APPEND = "WITH t AS (SELECT p_partkey AS fid, p_name AS name, p_size AS size, p
 
 QUERIES = {f.__name__: f for f in (legacy_roof_type, marker_round_trip, selection_resolution, roof_type_codes, typed_values, string_rules, json_progress, unit_scaling, octree_nodes, ramp_stops, append_with_schema, append_check, pending_tiles, import_once, manifest_check, cache_settings, fields_present, fit_summary, fit_reasons, removed_buildings)}
 SQL = {
-    "legacy_roof_type": "WITH m AS (SELECT o_custkey % 997 AS fid, o_orderkey % 5 AS k FROM orders WHERE o_orderkey % 7 < 3), c AS (SELECT fid, count(*) FILTER (WHERE k = 4) AS boundary, count(*) FILTER (WHERE k = 0) AS ridge, count(*) FILTER (WHERE k = 1) AS vertex, count(*) FILTER (WHERE k = 2) AS surface FROM m GROUP BY fid) SELECT fid, CASE " + " ".join(f"WHEN boundary = {a} AND ridge = {b} AND vertex = {c} AND surface = {d} THEN '{n}'" for n, (a, b, c, d) in op.MARKERS.items()) + " ELSE 'None' END AS roof, boundary, ridge, vertex, surface FROM c",
+    "legacy_roof_type": "WITH m AS (SELECT o_custkey % 997 AS fid, o_orderkey % 5 AS k FROM orders), c AS (SELECT fid, count(*) FILTER (WHERE k = 4) AS boundary, count(*) FILTER (WHERE k = 0) AS ridge, count(*) FILTER (WHERE k = 1) AS vertex, count(*) FILTER (WHERE k = 2) AS surface FROM m GROUP BY fid) SELECT fid, CASE " + " ".join(f"WHEN boundary = {a} AND ridge = {b} AND vertex = {c} AND surface = {d} THEN '{n}'" for n, (a, b, c, d) in op.MARKERS.items()) + " ELSE 'None' END AS roof, boundary, ridge, vertex, surface FROM c",
     "marker_round_trip": "WITH k(roof, kind, n) AS (VALUES " + ", ".join(f"('{name}', '{kind}', {n})" for name, need in op.MARKERS.items() for kind, n in zip(op.KINDS, need) if n) + f"), s AS (SELECT s_suppkey AS fid, {_PICK('s_suppkey', *op.TYPES)} AS roof FROM supplier) SELECT fid, kind, n FROM s JOIN k USING (roof)",
     "selection_resolution": "SELECT s_suppkey AS fid, CASE WHEN s_suppkey % 7 = 0 THEN 'Dome' WHEN s_suppkey % 3 = 0 THEN 'None' WHEN s_suppkey % 2 = 0 THEN 'Gabled' ELSE 'None' END AS roof, CASE WHEN s_suppkey % 7 = 0 THEN 'preview' WHEN s_suppkey % 3 = 0 THEN 'saved' WHEN s_suppkey % 2 = 0 THEN 'legacy' ELSE 'none' END AS origin FROM supplier",
     "roof_type_codes": f"WITH s AS (SELECT s_suppkey AS fid, {_PICK('s_suppkey', *op.TYPE_IDS, 'tent')} AS id FROM supplier), t AS (SELECT fid, id, {_CASE('id', list(zip(op.TYPE_IDS, op.TYPES)), 'None')} AS roof FROM s) SELECT fid, id, roof, CASE WHEN id = 'tent' THEN 'none' ELSE id END AS again, roof IN ('Gabled', 'Hipped', 'BrokenGabled') AS ridges, roof IN ('Dome', 'Barrel', 'Apex') AS spokes, roof IN ('Frustum', 'Relief', 'None') AS flat_top FROM t",

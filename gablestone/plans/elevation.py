@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from gablestone.operators import elevation as op
-from gablestone.sources.derived import BUILDINGS, INSIDE, POINTS, buildings, points
+from gablestone.sources.derived import BUILDINGS, INSIDE, PLACED, POINTS, SCATTERED, SIDES, buildings, footprints, points, scattered
 
 
 def _inside(spark, sf):
@@ -31,6 +31,12 @@ def points_in_footprints(spark, sf):
     return n.select("fid", "n_points", F.round("min_z", 6).alias("min_z"), F.round("max_z", 6).alias("max_z"))
 
 
+def points_in_polygons(spark, sf):
+    """Points that bear no building's id, in footprints that are concave and have holes."""
+    met = op.points_in_polygons(scattered(spark, sf), footprints(spark, sf))
+    return met.groupBy("fid").agg(F.count("*").alias("n"), F.sum("part").alias("part_sum"), F.round(F.min("x"), 6).alias("min_x"), F.round(F.max("y"), 6).alias("max_y"))
+
+
 def roof_candidates(spark, sf):
     return op.candidates(_inside(spark, sf)).groupBy("fid").agg(F.count("*").alias("n_candidates"), F.min("point_seq").alias("first_seq"))
 
@@ -65,8 +71,13 @@ roof AS (SELECT fid, avg(qz) AS roof_z FROM normals WHERE nz > 0.9 GROUP BY fid)
 found AS (SELECT b.fid, CASE WHEN coalesce(t.n, 0) < 5 THEN 'insufficient_points' WHEN r.roof_z IS NULL THEN 'no_roof_candidates' ELSE 'ok' END AS reason, r.roof_z
   FROM buildings b LEFT JOIN stat t USING (fid) LEFT JOIN roof r USING (fid))"""
 
-QUERIES = {f.__name__: f for f in (roof_elevation, roof_reason_counts, points_in_footprints, roof_candidates, neighbour_counts, point_normals)}
+QUERIES = {f.__name__: f for f in (roof_elevation, roof_reason_counts, points_in_footprints, points_in_polygons, roof_candidates, neighbour_counts, point_normals)}
 SQL = {
+    "points_in_polygons": f"""WITH {PLACED},{SCATTERED},{SIDES},
+p AS (SELECT *, row_number() OVER () AS pid FROM scattered),
+hit AS (SELECT s.fid, pid, part, x, y FROM p JOIN placed b ON x BETWEEN b.x0 AND b.x0 + 10 AND y BETWEEN b.y0 AND b.y0 + 8 JOIN sides s ON s.fid = b.fid
+  WHERE (ay > y) <> (by_ > y) AND x < (bx - ax) * (y - ay) / (by_ - ay) + ax GROUP BY ALL HAVING count(*) % 2 = 1)
+SELECT fid, count(*) AS n, CAST(sum(part) AS BIGINT) AS part_sum, round(min(x), 6) AS min_x, round(max(y), 6) AS max_y FROM hit GROUP BY fid""",
     "roof_elevation": f"{ROOF} SELECT fid, reason, round(roof_z, 6) AS roof_z FROM found",
     "roof_reason_counts": f"{ROOF} SELECT reason, count(*) AS n, count(*) FILTER (WHERE roof_z IS NULL) AS failed FROM found GROUP BY reason",
     "points_in_footprints": f"WITH {POINTS},{BUILDINGS},{INSIDE} SELECT fid, count(*) AS n_points, round(min(z), 6) AS min_z, round(max(z), 6) AS max_z FROM inside GROUP BY fid",

@@ -50,21 +50,31 @@ def poll_outcomes(spark, sf):
 
 
 def coalesced_updates(spark, sf):
-    return op.coalesced(_events(spark, sf), "event_type", 60_000).select("event_type", "slot", "n")
+    return op.coalesced(_events(spark, sf), "event_type", 1_800_000)
 
 
 _E = "WITH e AS (SELECT event_id, ts, user_id AS job_id, event_type, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATE.items()) + " END AS state FROM events)"
 _LAST = f"{_E}, l AS (SELECT job_id, state, ts FROM (SELECT *, row_number() OVER (PARTITION BY job_id ORDER BY ts DESC, event_id DESC) AS i FROM e) WHERE i = 1)"
 _LEGAL = " OR ".join(f"(before = '{a}' AND state = '{b}')" for a, bs in op.NEXT.items() for b in bs)
 
+
+
+def _walked(key: str, clock: str, final: str) -> str:
+    """r holds the reports (k, i): the first event of a key, then from each the next one that is final or late enough."""
+    return f"""{_E.replace("WITH e", "WITH RECURSIVE e", 1)},
+n AS (SELECT *, {key} AS k, {final} AS final, row_number() OVER (PARTITION BY {key} ORDER BY ts, event_id) AS i FROM e),
+nxt AS (SELECT a.k, a.i, min(b.i) AS j FROM n a JOIN n b ON a.k = b.k AND b.i > a.i AND (b.final OR b.ts >= a.ts + INTERVAL {clock}) GROUP BY a.k, a.i),
+r AS (SELECT k, i FROM n WHERE i = 1 UNION ALL SELECT r.k, nxt.j FROM r JOIN nxt ON r.k = nxt.k AND r.i = nxt.i)"""
+
+
 QUERIES = {f.__name__: f for f in (latest_job_state, job_transitions, progress_throttle, debounced_updates, signal_counts, restarted_jobs, poll_outcomes, coalesced_updates)}
 SQL = {
     "latest_job_state": f"{_LAST} SELECT job_id, state, ts FROM l",
     "job_transitions": f"{_E}, t AS (SELECT *, lag(state) OVER (PARTITION BY job_id ORDER BY ts, event_id) AS before FROM e) SELECT coalesce(before, '-') AS before, state, coalesce({_LEGAL}, false) OR (before IS NULL AND state = 'uploading') AS legal, count(*) AS n FROM t GROUP BY ALL",
-    "progress_throttle": f"{_E}, t AS (SELECT *, row_number() OVER (PARTITION BY job_id, epoch_us(ts) // 3600000000 ORDER BY ts, event_id) AS i FROM e) SELECT event_id, job_id, state FROM t WHERE i = 1 OR state IN ('completed', 'failed', 'interrupted')",
+    "progress_throttle": _walked("job_id", "1 HOUR", "state IN ('completed', 'failed', 'interrupted')") + " SELECT event_id, job_id, state FROM n JOIN r USING (k, i)",
     "debounced_updates": f"{_E}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM g) SELECT job_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM r GROUP BY job_id, run",
     "signal_counts": "SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS n FROM events GROUP BY ALL",
     "poll_outcomes": f"{_E} SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'error' WHEN state = 'completed' THEN 'done' WHEN state IN ('queued', 'running') THEN 'wait' ELSE 'error' END AS outcome FROM e",
-    "coalesced_updates": "SELECT event_type, epoch_us(ts) // 60000000 AS slot, count(*) AS n FROM events GROUP BY ALL",
+    "coalesced_updates": _walked("event_type", "30 MINUTE", "false") + ", h AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS j FROM r) SELECT n.k AS event_type, min(ts) AS started, count(*) AS n, max(ts) AS last FROM h JOIN n ON n.k = h.k AND n.i >= h.i AND (h.j IS NULL OR n.i < h.j) GROUP BY n.k, h.i",
     "restarted_jobs": f"{_LAST} SELECT job_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM l",
 }

@@ -26,7 +26,7 @@ def sharp_edges(spark, sf):
 
 
 def wireframe_edges(spark, sf):
-    return op.wireframe(op.edges(_prisms(spark, sf)), most=5, most_vertical=2).select("fid", "edge", "vertical")
+    return op.wireframe(op.edges(_prisms(spark, sf))).select("fid", "edge", "vertical")
 
 
 def wireframe_stride(spark, sf):
@@ -87,7 +87,7 @@ SQL = {
     "extruded_sides": f'WITH {_sql_prisms()} SELECT fid, tid, ax, ay, az, bx, by_ AS "by", bz, cx, cy, cz FROM prism',
     "mesh_normals": f"WITH {_sql_prisms()}{_N} SELECT fid, tid, {_RN} FROM normal",
     "sharp_edges": f"WITH {_sql_prisms()}{_N}{_EDGE} SELECT fid, edge, n, round(min_dot, 6) AS min_dot FROM edges WHERE n = 1 OR min_dot < 0.86",
-    "wireframe_edges": f"WITH {_sql_prisms()}{_N}{_EDGE}, s AS (SELECT fid, edge, regexp_extract(edge, '^([^,]*,[^,]*),', 1) = regexp_extract(edge, '[|]([^,]*,[^,]*),', 1) AS vertical FROM edges WHERE n = 1 OR min_dot < 0.86), w AS (SELECT *, count(*) OVER (PARTITION BY fid, vertical) AS n, row_number() OVER (PARTITION BY fid, vertical ORDER BY edge) - 1 AS i FROM s) SELECT fid, edge, vertical FROM w WHERE i % CAST(ceil(n / CASE WHEN vertical THEN 2.0 ELSE 5.0 END) AS BIGINT) = 0",
+    "wireframe_edges": f"WITH {_sql_prisms()}{_N}{_EDGE}, s AS (SELECT fid, edge, regexp_extract(edge, '^([^,]*,[^,]*),', 1) = regexp_extract(edge, '[|]([^,]*,[^,]*),', 1) AS vertical FROM edges WHERE n = 1 OR min_dot < 0.86), w AS (SELECT *, count(*) OVER (PARTITION BY fid, vertical) AS n, row_number() OVER (PARTITION BY fid, vertical ORDER BY edge) - 1 AS i FROM s) SELECT fid, edge, vertical FROM w WHERE i % CAST(ceil(n / CASE WHEN vertical THEN 12.0 ELSE 650.0 END) AS BIGINT) = 0",
     "wireframe_stride": f"WITH {POINTS}, w AS (SELECT fid, point_seq, count(*) OVER (PARTITION BY fid) AS n, row_number() OVER (PARTITION BY fid ORDER BY point_seq) - 1 AS i FROM points) SELECT fid, point_seq FROM w WHERE i % CAST(ceil(n / 65.0) AS BIGINT) = 0",
     "cloud_extents": f"WITH {POINTS}, b AS (SELECT fid, min(x) AS min_x, max(x) AS max_x, min(y) AS min_y, max(y) AS max_y, min(z) AS min_z, max(z) AS max_z FROM points GROUP BY fid), d AS (SELECT *, sqrt(pow(max_x-min_x,2)+pow(max_y-min_y,2)) AS diagonal, max_z-min_z AS z_range FROM b) SELECT fid, round(min_x,6) AS min_x, round(max_x,6) AS max_x, round(min_y,6) AS min_y, round(max_y,6) AS max_y, round(min_z,6) AS min_z, round(max_z,6) AS max_z, round(diagonal,6) AS diagonal, round(z_range,6) AS z_range, round(greatest(0.05, 0.015*diagonal),6) AS boundary_tol, round(greatest(0.02, 0.02*z_range),6) AS top_tol, round(greatest(0.02, 0.003*diagonal),6) AS eave_tol FROM d",
     "cloud_z_range": f"WITH {POINTS} SELECT round(min(z), 6) AS z_min, round(max(z), 6) AS z_max FROM points WHERE point_seq % 50 <> 0",

@@ -61,23 +61,26 @@ def roof_segments(spark, sf):
 
 def roof_surfaces(spark, sf):
     roof = F.element_at(F.array(*map(F.lit, TYPES)), (F.col("fid") % 9 + 1).cast("int"))
-    t = op.roof_prism(placed(spark, sf), roof, F.lit(3.0), F.lit(6.0))
+    b = placed(spark, sf).withColumn("x1", F.col("x1") + F.col("fid") % 4).withColumn("y1", F.col("y1") + F.col("fid") % 5)
+    t = op.roof_prism(b, roof, F.lit(3.0), 4.0 + (F.col("fid") % 6).cast("double"))
     flat = mesh.with_normals(t)
     area = F.abs((F.col("bx") - F.col("ax")) * (F.col("cy") - F.col("ay")) - (F.col("by") - F.col("ay")) * (F.col("cx") - F.col("ax"))) / 2
     return flat.groupBy("fid").agg(F.count("*").alias("n"), F.round(F.sum(area), 6).alias("plan_m2"), F.round(F.min("nz"), 6).alias("min_nz"))
 
 
 def split_footprints(spark, sf):
-    """Footprints cut from below the lower left third to above the upper right one."""
-    b = rings(placed(spark, sf)).select("fid", F.array("ring").alias("rings"), (F.col("x0") + 3).alias("lx0"), F.col("y0").alias("ly0"), (F.col("x0") + 6).alias("lx1"), F.col("y1").alias("ly1"))
+    """Footprints cut from a place of their lower side to one of their upper side; every eleventh line passes by."""
+    low, high = F.col("x0") + 1 + F.col("fid") % 8, F.col("x0") + 1 + F.col("fid") % 5
+    aside = F.when(F.col("fid") % 11 == 0, 20.0).otherwise(0.0)
+    b = rings(placed(spark, sf)).select("fid", F.array("ring").alias("rings"), (low + aside).cast("double").alias("lx0"), F.col("y0").alias("ly0"), (high + aside).cast("double").alias("lx1"), F.col("y1").alias("ly1"))
     return op.split_by_line(b).groupBy("fid").agg(F.count("*").alias("parts"), F.round(F.sum("area_m2"), 6).alias("area_m2"), F.round(F.min("area_m2"), 6).alias("least_m2"))
 
 
 def snapped_footprints(spark, sf):
-    """Copies of footprints, a little off, snapped back to the originals."""
+    """Copies of footprints, off by a distance of their own, snapped to the originals: to a vertex, else to a side."""
     b = placed(spark, sf)
     as_rings = lambda df: rings(df).select("fid", F.array("ring").alias("rings"))
-    off = b.withColumn("x0", F.col("x0") + 0.2).withColumn("y1", F.col("y1") - F.lit(0.3))
+    off = b.withColumn("x0", F.col("x0") + (F.col("fid") % 8) * F.lit(0.15)).withColumn("y1", F.col("y1") - F.lit(0.3))
     out = op.snapped(as_rings(off), as_rings(b), 0.5)
     return out.select("fid", F.element_at("ring", 1)["x"].alias("x"), F.element_at("ring", 4)["y"].alias("y"))
 
@@ -99,8 +102,10 @@ def mask_cells(spark, sf):
 QUERIES = {f.__name__: f for f in (convex_hulls, fitted_footprints, polygonized_masks, footprint_overlaps, ear_triangles, roof_segments, roof_surfaces, split_footprints, snapped_footprints, accuracy_evaluation, mask_cells)}
 SQL = {
     "footprint_overlaps": f"WITH {PLACED}, w AS (SELECT fid, x0, y0, x1 + 7 AS x1, y1 + 9 AS y1 FROM placed) SELECT a.fid AS a, b.fid AS b, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS area_m2 FROM w a JOIN w b ON a.fid < b.fid AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)",
-    "split_footprints": f"WITH {PLACED} SELECT fid, CAST(2 AS BIGINT) AS parts, 80.0::DOUBLE AS area_m2, 36.0::DOUBLE AS least_m2 FROM placed",
-    "snapped_footprints": f"WITH {PLACED} SELECT fid, x0 AS x, y1 AS y FROM placed",
+    "split_footprints": f"WITH {PLACED}, c AS (SELECT fid, (x1-x0)*(y1-y0) AS whole, (1 + fid % 8 + 1 + fid % 5) / 2.0::DOUBLE * (y1-y0) AS cut, fid % 11 = 0 AS aside FROM placed) SELECT fid, CASE WHEN aside THEN 1 ELSE 2 END::BIGINT AS parts, round(whole, 6) AS area_m2, round(CASE WHEN aside THEN whole ELSE least(cut, whole - cut) END, 6) AS least_m2 FROM c",
+    "snapped_footprints": f"WITH {PLACED}, o AS (SELECT *, (fid % 8) * 0.15::DOUBLE AS d FROM placed) SELECT fid, CASE WHEN d <= 0.5 THEN x0 ELSE x0 + d END AS x, y1 AS y FROM o",
     "mask_cells": f"WITH {POINTS}, b AS (SELECT fid, floor(min(x)/0.5)*0.5 AS x0, ceil(max(y)/0.5)*0.5 AS ytop FROM points GROUP BY fid), c AS (SELECT DISTINCT p.fid, floor((ytop-y)/0.5) AS r, floor((x-x0)/0.5) AS c FROM points p JOIN b USING (fid) WHERE z > 102) SELECT fid, round(count(*) * 0.25::DOUBLE, 6) AS area_m2 FROM c GROUP BY fid",
-    "roof_surfaces": f"WITH {PLACED} SELECT fid, CAST(CASE fid % 9 WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 4 THEN 4 ELSE 2 END AS BIGINT) AS n, 80.0::DOUBLE AS plan_m2, (CASE fid % 9 WHEN 1 THEN 0.0 WHEN 2 THEN 0.8 WHEN 4 THEN 0.8 ELSE 1.0 END)::DOUBLE AS min_nz FROM placed",
+    "roof_surfaces": f"""WITH {PLACED}, b AS (SELECT fid, x1 + fid % 4 - x0 AS w, y1 + fid % 5 - y0 AS d, 1.0::DOUBLE + fid % 6 AS rise, fid % 9 AS k FROM placed), s AS (SELECT *, least(w, d) / 2 AS half, greatest(w, d) / 2 AS long FROM b)
+SELECT fid, CAST(CASE k WHEN 1 THEN 6 WHEN 2 THEN 6 WHEN 4 THEN 4 ELSE 2 END AS BIGINT) AS n, round(w * d, 6) AS plan_m2,
+  round((CASE k WHEN 1 THEN 0.0 WHEN 2 THEN half / sqrt(half*half + rise*rise) WHEN 4 THEN half / sqrt(half*half + rise*rise) ELSE 1.0 END)::DOUBLE, 6) AS min_nz FROM s""",
 }

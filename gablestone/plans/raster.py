@@ -48,7 +48,7 @@ def coverage_check(spark, sf):
 
 def mask_closing(spark, sf):
     g, c = _cells(spark, sf)
-    return op.closing(op.mask(c.where(_roof() & (F.col("point_seq") % 7 == 0)), F.lit(True)), g, CLOSE, R)
+    return op.closing(op.mask(c.where(_roof()), F.lit(True)), g, CLOSE, R)
 
 
 def edge_flags(spark, sf):
@@ -71,7 +71,7 @@ stats AS (SELECT t.fid, t.tile_id, count(*) AS context, count(*) FILTER (WHERE "
   FROM cell p JOIN bounds t ON p.fid = t.fid AND x >= xmin - 1 AND x <= xmax + 1 AND y >= ymin - 1 AND y <= ymax + 1 GROUP BY ALL)"""
 CLOSED = f"""{GRID},
 disc AS (SELECT i, j FROM range(-2, 3) AS a(i), range(-2, 3) AS b(j) WHERE (i*i + j*j) * 0.25 <= 1 + 1e-10),
-m AS (SELECT DISTINCT fid, "row", col, width, height FROM cell WHERE z > 102 AND point_seq % 7 = 0),
+m AS (SELECT DISTINCT fid, "row", col, width, height FROM cell WHERE z > 102),
 pad AS (SELECT g.fid, g.width, g.height, r, c FROM grid g, range(-3, 40) AS a(r), range(-3, 40) AS b(c)
   WHERE r < g.height + 3 AND c < g.width + 3 AND EXISTS (SELECT 1 FROM m WHERE m.fid = g.fid AND m."row" = least(greatest(r, 0), g.height - 1) AND m.col = least(greatest(c, 0), g.width - 1))),
 grown AS (SELECT DISTINCT fid, width, height, r + i AS r, c + j AS c FROM pad, disc),

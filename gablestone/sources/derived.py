@@ -48,12 +48,33 @@ def placed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(F.col("s_suppkey").alias("fid"), x.alias("x0"), y.alias("y0"), (x + 10).alias("x1"), (y + 8).alias("y1"), h.cast("double").alias("height"))
 
 
+def footprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(fid, rings): the buildings of ``placed`` as L shapes, every seventh with a courtyard."""
+    p = lambda x, y: F.struct(x.cast("double").alias("x"), y.cast("double").alias("y"))
+    x, y = F.col("x0"), F.col("y0")
+    ring = lambda *v: F.array(*[p(x + a, y + b) for a, b in (*v, v[0])])
+    shell, hole = ring(*SHELL), ring(*COURT)
+    return placed(spark, sf_dir).select("fid", F.when(F.col("fid") % 7 == 0, F.array(shell, hole)).otherwise(F.array(shell)).alias("rings"))
+
+
+def scattered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line items as points (x, y, part) all over the plane of ``placed``, without a building's id."""
+    li = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_suppkey")
+    x = (F.col("l_suppkey") % 40 * 16).cast("double") + (F.col("l_orderkey") * 31 % 1601).cast("double") / 100
+    y = (F.floor(F.col("l_suppkey") / 40) * 16).cast("double") + (F.col("l_partkey") * 17 % 1599).cast("double") / 100
+    return li.select(x.alias("x"), y.alias("y"), F.col("l_partkey").alias("part"))
+
+
 def clicks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers as places that were clicked on, in the plane of ``placed``."""
     c = table(spark, sf_dir, "customer")
     return c.select(F.col("c_custkey").alias("qid"), ((F.col("c_custkey") * 37) % 640).cast("double").alias("qx"), (((F.col("c_custkey") * 53) % 4003) / F.lit(10.0)).alias("qy"))
 
 
+#: Corners of an L shape with slanting sides, and of a courtyard, from a building's corner.
+SHELL = ((0.3, 0.2), (9.7, 0.9), (9.1, 4.3), (4.6, 3.7), (4.2, 7.8), (0.7, 7.1))
+COURT = ((1.1, 1.3), (1.6, 3.1), (3.9, 2.9), (3.3, 1.2))
+
 POINTS = """
 points AS (
   SELECT fid, row_number() OVER (PARTITION BY fid ORDER BY l_orderkey, l_linenumber, l_partkey, l_quantity) AS point_seq, x, y,
@@ -76,3 +97,17 @@ placed AS (
   FROM supplier)"""
 CLICKS = """
 clicks AS (SELECT c_custkey AS qid, CAST(c_custkey * 37 % 640 AS DOUBLE) AS qx, CAST(c_custkey * 53 % 4003 AS DOUBLE) / CAST(10 AS DOUBLE) AS qy FROM customer)"""
+SCATTERED = """
+scattered AS (
+  SELECT CAST(l_suppkey % 40 * 16 AS DOUBLE) + CAST(l_orderkey * 31 % 1601 AS DOUBLE) / 100 AS x, CAST(l_suppkey // 40 * 16 AS DOUBLE) + CAST(l_partkey * 17 % 1599 AS DOUBLE) / 100 AS y, l_partkey AS part
+  FROM lineitem)"""
+
+
+def _sides() -> str:
+    each = [(ring, v, w) for ring, vs in (("true", SHELL), ("fid % 7 = 0", COURT)) for v, w in zip(vs, (*vs[1:], vs[0]))]
+    return " UNION ALL ".join(f"SELECT fid, x0 + {a} AS ax, y0 + {b} AS ay, x0 + {c} AS bx, y0 + {d} AS by_ FROM placed WHERE {ring}" for ring, (a, b), (c, d) in each)
+
+
+#: Sides (a, b) of the footprints, shells and holes alike.
+SIDES = f"""
+sides AS ({_sides()})"""

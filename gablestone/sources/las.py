@@ -3,8 +3,11 @@
     spark.dataSource.register(LasSource)
     spark.read.format("las").load("file:///clouds/a.las")
 
-A partition is a range of records of one file, so a file of any size is read by many tasks
-and each decodes a bounded number of records at once. Coordinates are integers times scale
+A partition is a range of bytes of one file, so a file of any size is read by many tasks
+and each decodes a bounded number of records at once; headers are read by the tasks. With
+the option ``bounds`` ("x0,y0,x1,y1") files whose header says that they lie outside aren't
+read further, and of the others only points inside are handed on. A file that is shorter
+than its header says is an error; ``completeness`` reports such files instead. Coordinates are integers times scale
 plus offset, as the header says. ``point_seq`` is the record's place in its file.
 """
 
@@ -16,12 +19,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 from pyspark.sql import functions as F
 
-#: Records of a partition, and of a batch within it.
-RANGE, BATCH = 2_000_000, 100_000
+#: Bytes of a partition, and records of a batch within it.
+RANGE, BATCH = 64 << 20, 100_000
 SCHEMA = "file string, point_seq long, x double, y double, z double, intensity int, cls int"
 
 
@@ -33,6 +36,12 @@ class Header:
     kind: int
     scale: tuple[float, float, float]
     offset: tuple[float, float, float]
+    #: x0, y0, x1, y1 of all points.
+    box: tuple[float, float, float, float]
+
+    def present(self, size: int) -> int:
+        """Records that a file of that many bytes can hold."""
+        return max(0, min(self.count, (size - self.first) // self.size))
 
 
 def header(raw: bytes) -> Header:
@@ -45,7 +54,8 @@ def header(raw: bytes) -> Header:
         raise ValueError("compressed LAS is not supported")
     if (raw[24], raw[25]) >= (1, 4) and len(raw) >= 255:
         count = struct.unpack_from("<Q", raw, 247)[0] or count
-    return Header(first, size, count, kind, struct.unpack_from("<3d", raw, 131), struct.unpack_from("<3d", raw, 155))
+    x1, x0, y1, y0 = struct.unpack_from("<4d", raw, 179)
+    return Header(first, size, count, kind, struct.unpack_from("<3d", raw, 131), struct.unpack_from("<3d", raw, 155), (x0, y0, x1, y1))
 
 
 def decode(raw: bytes, h: Header, file: str, start: int) -> pa.RecordBatch:
@@ -61,8 +71,8 @@ def decode(raw: bytes, h: Header, file: str, start: int) -> pa.RecordBatch:
 
 
 class Range(InputPartition):
-    def __init__(self, file: str, start: int, stop: int):
-        self.file, self.start, self.stop = file, start, stop
+    def __init__(self, file: str, start: int, stop: int, size: int):
+        self.file, self.start, self.stop, self.size = file, start, stop, size
 
 
 def _open(path: str):
@@ -75,7 +85,8 @@ def _open(path: str):
     return system, name
 
 
-def _files(path: str) -> list[str]:
+def _files(path: str) -> list[tuple[str, int]]:
+    """Names and sizes."""
     from pyarrow import fs
 
     system, name = _open(path)
@@ -83,31 +94,51 @@ def _files(path: str) -> list[str]:
     if info.type == fs.FileType.Directory:
         found = system.get_file_info(fs.FileSelector(name, recursive=True))
         prefix = path[: -len(name)] if path.endswith(name) else ""
-        return sorted(prefix + f.path for f in found if f.path.lower().endswith(".las"))
-    return [path]
+        return sorted((prefix + f.path, f.size) for f in found if f.path.lower().endswith(".las"))
+    return [(path, info.size)]
 
 
 class LasReader(DataSourceReader):
-    def __init__(self, path: str, size: int):
-        self.path, self.size = path, size
+    def __init__(self, path: str, size: int, bounds: tuple[float, ...] | None):
+        self.path, self.size, self.bounds = path, size, bounds
 
     def partitions(self) -> list[Range]:
-        out = []
-        for file in _files(self.path):
-            system, name = _open(file)
-            with system.open_input_file(name) as f:
-                n = header(f.read(375)).count
-            out += [Range(file, i, min(n, i + self.size)) for i in range(0, max(n, 1), self.size)]
-        return out
+        return [Range(file, i, min(n, i + self.size), n) for file, n in _files(self.path) for i in range(0, max(n, 1), self.size)]
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
         system, name = _open(partition.file)
         with system.open_input_file(name) as f:
             h = header(f.read(375))
-            for i in range(partition.start, partition.stop, BATCH):
-                k = min(BATCH, partition.stop - i)
+            if h.present(partition.size) < h.count:
+                raise ValueError(f"{partition.file} ends after {h.present(partition.size)} of {h.count} records")
+            x0, y0, x1, y1 = self.bounds or h.box
+            if x0 > h.box[2] or x1 < h.box[0] or y0 > h.box[3] or y1 < h.box[1]:
+                return
+            # A record belongs to the range in which it begins.
+            upto = lambda at: min(h.count, max(0, -(-(at - h.first) // h.size)))
+            for i in range(upto(partition.start), upto(partition.stop), BATCH):
+                k = min(BATCH, upto(partition.stop) - i)
                 f.seek(h.first + i * h.size)
-                yield decode(f.read(k * h.size), h, partition.file, i)
+                got = decode(f.read(k * h.size), h, partition.file, i)
+                if self.bounds:
+                    x, y = (got.column(c).to_numpy() for c in ("x", "y"))
+                    got = got.filter(pa.array((x >= x0) & (x <= x1) & (y >= y0) & (y <= y1)))
+                yield got
+
+
+def completeness(spark: SparkSession, path: str) -> DataFrame:
+    """(file, records, present, complete): what each file's header says and what it holds."""
+
+    def look(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                system, name = _open(file)
+                with system.open_input_file(name) as f:
+                    h = header(f.read(375))
+                n = h.present(size)
+                yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([h.count], pa.int64()), pa.array([n], pa.int64()), pa.array([n == h.count])], names=["file", "records", "present", "complete"])
+
+    return spark.createDataFrame(_files(path), "file string, size long").mapInArrow(look, "file string, records long, present long, complete boolean")
 
 
 class LasSource(DataSource):
@@ -119,7 +150,8 @@ class LasSource(DataSource):
         return SCHEMA
 
     def reader(self, schema) -> LasReader:
-        return LasReader(self.options["path"], int(self.options.get("recordsPerPartition", RANGE)))
+        bounds = self.options.get("bounds")
+        return LasReader(self.options["path"], int(self.options.get("bytesPerPartition", RANGE)), tuple(map(float, bounds.split(","))) if bounds else None)
 
 
 def not_below_ground(points: DataFrame) -> DataFrame:
@@ -142,4 +174,6 @@ def las_bytes(x: np.ndarray, y: np.ndarray, z: np.ndarray, scale: float = 0.001,
     struct.pack_into("<I", head, 96, 227)
     struct.pack_into("<BHI", head, 104, 0, 20, n)
     struct.pack_into("<3d", head, 131, scale, scale, scale)
+    ends = [f(np.asarray(v)) for v in (x, y, z) for f in (np.max, np.min)] if n else [0.0] * 6
+    struct.pack_into("<6d", head, 179, *map(float, ends))
     return bytes(head) + rec.tobytes()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import os
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -72,16 +73,34 @@ def write_json(spark: SparkSession, path: str, document: dict) -> None:
             check(x)
 
     check(document)
+    replace_file(spark, path, json.dumps(document, ensure_ascii=False).encode("utf-8"))
+
+
+def replace_file(spark: SparkSession, path: str, content: bytes) -> None:
+    """Write a small file beside its place and move it over what is there, in one step."""
     fs, target = _fs(spark, path)
-    _, staged = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")
+    if fs.getScheme() == "file":
+        name = target.toUri().getPath()
+        staged = f"{name}.{uuid.uuid4().hex}.tmp"
+        with open(staged, "wb") as f:
+            f.write(content)
+            f.flush()
+            os.fsync(f.fileno())
+        os.replace(staged, name)
+        crc = os.path.join(os.path.dirname(name), f".{os.path.basename(name)}.crc")
+        if os.path.exists(crc):  # of a file that was written through Hadoop
+            os.remove(crc)
+        return
+    jvm = spark._jvm
+    staged = _fs(spark, f"{path}.{uuid.uuid4().hex}.tmp")[1]
     out = fs.create(staged, True)
     try:
-        out.write(bytearray(json.dumps(document, ensure_ascii=False).encode("utf-8")))
+        out.write(bytearray(content))
     finally:
         out.close()
-    fs.delete(target, False)
-    if not fs.rename(staged, target):
-        raise OSError(f"can't move the document to {path}")
+    over = spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+    over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+    jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), spark._jsc.hadoopConfiguration()).rename(staged, target, over)
 
 
 def write_tiles(masks: DataFrame, path: str) -> None:
@@ -89,9 +108,16 @@ def write_tiles(masks: DataFrame, path: str) -> None:
     masks.repartition("tile_id").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("tile_id").parquet(path)
 
 
-def read_tiles(spark: SparkSession, path: str) -> DataFrame:
-    """The cached tiles; a mask other than 1 or 2 is an error, not a row."""
+def read_tiles(spark: SparkSession, path: str, side: int | None = None) -> DataFrame:
+    """The cached tiles; a mask other than 1 or 2, a cell outside its tile or a column of another
+    kind is an error, not a row."""
     t = spark.read.parquet(path)
+    kinds = dict(t.dtypes)
+    if set(kinds) != {"tile_id", "row", "col", "mask"} or kinds["mask"] not in ("tinyint", "smallint", "int"):
+        raise ValueError(f"tile cache has other columns than expected: {kinds}")
+    if side is not None:
+        inside = F.col("row").between(0, side - 1) & F.col("col").between(0, side - 1)
+        t = t.where(F.when(inside, F.lit(True)).otherwise(F.raise_error(F.lit("tile cache holds a cell outside its tile")).cast("boolean")))
     return t.where(F.when(F.col("mask").isin(1, 2), F.lit(True)).otherwise(F.raise_error(F.lit("tile cache holds an unknown mask")).cast("boolean")))
 
 

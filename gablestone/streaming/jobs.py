@@ -49,18 +49,72 @@ def client_outcome(state: Column) -> Column:
     return F.when(state == "completed", "done").when(state.isin("queued", "running"), "wait").otherwise("error")
 
 
-def coalesced(events: DataFrame, key: str, milliseconds: int = 33, ts: str = "ts") -> DataFrame:
-    """(key, slot, n, last): the changes of a key that one update handles, by tumbling slots."""
-    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (milliseconds * 1000))
-    return events.groupBy(key, slot.alias("slot")).agg(F.count("*").alias("n"), F.max(ts).alias("last"))
+def _in_force(events: DataFrame, key: str, micros: int, ts: str, order: str, final: Column | None) -> DataFrame:
+    """events with ``_head``, the time of the report in force, and ``_first``, whether this event is one.
+
+    An event is a report if none is in force or the last one is so long ago, or if it is
+    final. That depends on all before it, so a key's events are walked in order; a task
+    holds one key's clock at a time, whatever the number of its events.
+    """
+    import pyarrow as pa
+
+    rows = events.withColumn("_us", F.unix_micros(F.col(ts).cast("timestamp"))).withColumn("_final", F.coalesce(final, F.lit(False)) if final is not None else F.lit(False))
+    out = T.StructType([*rows.schema.fields, T.StructField("_head", T.LongType()), T.StructField("_first", T.BooleanType())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, last = object(), None
+        for batch in batches:
+            heads, first = [], []
+            at = batch.schema.names.index
+            for k, us, sure in zip(*(batch.column(at(c)).to_pylist() for c in (key, "_us", "_final"))):
+                if k != now:
+                    now, last = k, None
+                new = last is None or sure or us - last >= micros
+                last = us if new else last
+                heads.append(last)
+                first.append(new)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(heads, pa.int64()), pa.array(first, pa.bool_())], names=[*batch.schema.names, "_head", "_first"])
+
+    return rows.repartition(key).sortWithinPartitions(key, "_us", order).mapInArrow(walk, out)
+
+
+def coalesced(events: DataFrame, key: str, milliseconds: int = 33, ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """(key, started, n, last): the changes of a key that one update handles.
+
+    The first change while none is pending starts the clock; what comes before it has run
+    down is handled with it.
+    """
+    walked = _in_force(events.select(key, ts, order), key, milliseconds * 1000, ts, order, None)
+    return walked.groupBy(key, "_head").agg(F.min(ts).alias("started"), F.count("*").alias("n"), F.max(ts).alias("last")).drop("_head")
 
 
 def throttled(events: DataFrame, key: str, seconds: int = 1, ts: str = "ts", order: str = "event_id", final: Column | None = None) -> DataFrame:
-    """At most the first event of a key in each slot of so many seconds, and all final ones."""
-    slot = F.floor(F.unix_micros(F.col(ts).cast("timestamp")) / (seconds * 1_000_000))
-    i = F.row_number().over(Window.partitionBy(key, "_slot").orderBy(ts, order))
-    keep = F.col("_i") == 1
-    return events.withColumn("_slot", slot).withColumn("_i", i).where(keep | final if final is not None else keep).drop("_slot", "_i")
+    """The events that are reported: the first of a key, each so long after the last reported one, and all final ones."""
+    return _in_force(events, key, seconds * 1_000_000, ts, order, final).where("_first").select(*events.columns)
+
+
+def throttled_stream(stream: DataFrame, key: str, seconds: int = 1, ts: str = "ts", order: str = "event_id", final: str | None = None) -> DataFrame:
+    """(key, order, ts) of the same events of a stream, which come in order; ``final`` names a boolean column."""
+    import pandas as pd
+    from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+
+    kinds = dict(stream.dtypes)
+    given = stream.select(key, order, ts, F.unix_micros(F.col(ts).cast("timestamp")).alias("_us"), (F.coalesce(F.col(final), F.lit(False)) if final else F.lit(False)).alias("_final"))
+
+    def run(k: tuple, frames: Iterator[pd.DataFrame], held: GroupState) -> Iterator[pd.DataFrame]:
+        last = held.get[0] if held.exists else None
+        for frame in frames:
+            frame = frame.sort_values(["_us", order])
+            kept = []
+            for us, sure in zip(frame["_us"], frame["_final"]):
+                kept.append(last is None or bool(sure) or us - last >= seconds * 1_000_000)
+                last = int(us) if kept[-1] else last
+            yield frame.loc[kept, [key, order, ts]]
+        if last is not None:
+            held.update((last,))
+
+    kept = T.StructType([T.StructField("last", T.LongType())])
+    return given.groupBy(key).applyInPandasWithState(run, f"{key} {kinds[key]}, {order} {kinds[order]}, {ts} {kinds[ts]}", kept, "append", GroupStateTimeout.NoTimeout)
 
 
 def debounced(events: DataFrame, key: str, gap_ms: int, ts: str = "ts") -> DataFrame:
@@ -111,14 +165,21 @@ def state_machine(stream: DataFrame, key: str, state: str, order: str) -> DataFr
     return stream.groupBy(key).applyInPandasWithState(run, out, kept, "append", GroupStateTimeout.NoTimeout)
 
 
-def import_once(target: str, key: str = "job_id") -> Callable[[DataFrame, int], None]:
-    """For ``foreachBatch``: append the batch's jobs that the Parquet target doesn't hold yet."""
+def import_once(target: str, key: str = "job_id", buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """For ``foreachBatch``: append the batch's jobs that the Parquet target doesn't hold yet, each once.
+
+    The target is partitioned by a hash of the key, so a batch reads the keys of its own
+    buckets only. A batch that is run again finds what it wrote.
+    """
 
     def run(batch: DataFrame, _: int) -> None:
         spark = batch.sparkSession
+        dealt = batch.dropDuplicates([key]).withColumn("_bucket", F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int"))
         path = spark._jvm.org.apache.hadoop.fs.Path(target)
-        known = path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
-        fresh = batch.join(spark.read.parquet(target).select(key).distinct(), key, "left_anti") if known else batch
-        fresh.write.mode("append").parquet(target)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            mine = [r[0] for r in dealt.select("_bucket").distinct().collect()]  # at most ``buckets``
+            known = spark.read.parquet(target).where(F.col("_bucket").isin(mine)).select(key, "_bucket")
+            dealt = dealt.join(known, [key, "_bucket"], "left_anti")
+        dealt.write.mode("append").partitionBy("_bucket").parquet(target)
 
     return run

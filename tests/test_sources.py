@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from gablestone.operators import append, raster
 from gablestone.sources import vectors
-from gablestone.sources.las import LasSource, las_bytes, not_below_ground
+from gablestone.sources.las import LasSource, completeness, las_bytes, not_below_ground
 
 
 def test_las_round_trip(spark, tmp_path):
@@ -18,7 +18,7 @@ def test_las_round_trip(spark, tmp_path):
     x, y, z = (np.round(rng.uniform(-5, 500, 2500), 3) for _ in "xyz")
     (tmp_path / "a.las").write_bytes(las_bytes(x, y, z, intensity=np.arange(2500), cls=np.full(2500, 34)))
     spark.dataSource.register(LasSource)
-    df = spark.read.format("las").option("recordsPerPartition", "1000").load(str(tmp_path))
+    df = spark.read.format("las").option("bytesPerPartition", "20000").load(str(tmp_path))
     got = df.orderBy("point_seq").toPandas()
     assert df.rdd.getNumPartitions() == 3 and got.point_seq.tolist() == list(range(2500))
     assert np.allclose(got.x, x) and np.allclose(got.z, z) and set(got.cls) == {2} and got.intensity.tolist() == list(range(2500))
@@ -26,6 +26,23 @@ def test_las_round_trip(spark, tmp_path):
     assert above.count() == int((got.z >= 0).sum())
 
 
+def test_las_bounds_and_completeness(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    x, y = (np.round(rng.uniform(0, 100, 900), 3) for _ in "xy")
+    (tmp_path / "a.las").write_bytes(las_bytes(x, y, x))
+    (tmp_path / "b.las").write_bytes(las_bytes(x + 1000, y, x))
+    (tmp_path / "none.las").write_bytes(las_bytes(x[:0], y[:0], x[:0]))
+    spark.dataSource.register(LasSource)
+    for size in (100, 1 << 20):  # ranges smaller than a header, and larger than a file
+        got = spark.read.format("las").option("bounds", "20,30,60,1000").option("bytesPerPartition", str(size)).load(str(tmp_path)).toPandas()
+        assert len(got) == ((x >= 20) & (x <= 60) & (y >= 30)).sum() and got.file.nunique() == 1
+    (tmp_path / "short.las").write_bytes(las_bytes(x, y, x)[:-30])
+    with pytest.raises(Exception, match="ends after 898 of 900 records"):
+        spark.read.format("las").load(str(tmp_path)).count()
+    found = {r.file.split("/")[-1]: (r.records, r.present, r.complete) for r in completeness(spark, str(tmp_path)).collect()}
+    assert found == {"a.las": (900, 900, True), "b.las": (900, 900, True), "none.las": (0, 0, True), "short.las": (900, 898, False)}
+
+
 def test_las_refuses_other_files(spark, tmp_path):
     (tmp_path / "b.las").write_bytes(b"nothing of the kind" * 30)
     spark.dataSource.register(LasSource)
@@ -62,6 +79,9 @@ def test_json_documents(spark, tmp_path):
     with pytest.raises(ValueError):
         vectors.write_json(spark, path, {"a": [float("nan")]})
     assert vectors.read_json_documents(spark, path, vectors.MANIFEST).first().complete
+    vectors.write_json(spark, path, {"job_id": "k"})  # replaces, and leaves nothing beside it
+    assert vectors.read_json_documents(spark, path, vectors.MANIFEST).first().job_id == "k"
+    assert [f.name for f in tmp_path.iterdir() if not f.name.startswith(".")] == ["job.json"]
 
 
 def test_tile_cache(spark, tmp_path):
@@ -73,6 +93,12 @@ def test_tile_cache(spark, tmp_path):
     vectors.write_tiles(rows.where("tile_id = 1").withColumn("mask", F.lit(7)), path)
     with pytest.raises(Exception, match="unknown mask"):
         vectors.read_tiles(spark, path).collect()
+    vectors.write_tiles(rows.withColumn("row", F.lit(9)), path)
+    with pytest.raises(Exception, match="outside its tile"):
+        vectors.read_tiles(spark, path, side=8).collect()
+    rows.withColumnRenamed("mask", "other").write.mode("overwrite").parquet(path)
+    with pytest.raises(ValueError, match="other columns"):
+        vectors.read_tiles(spark, path)
 
 
 def test_scan_and_hash(spark, tmp_path):
