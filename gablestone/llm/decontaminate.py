@@ -86,7 +86,7 @@ class Hashes(dict):
 
 def shingle_hashes(w: list[bytes], hashes: Hashes, size: int = 2) -> np.ndarray:
     """64-bit hashes of the word pairs, or of the words, at each place."""
-    h = np.array([hashes[x] for x in w], np.uint64)
+    h = np.fromiter(map(hashes.__getitem__, w), np.uint64, len(w))
     h = h if size == 1 else h[:-1] * np.uint64(0x9E3779B97F4A7C15) + h[1:]
     return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9 + 2 * size)
 
