@@ -124,3 +124,45 @@ def test_too_large_a_raster_is_refused(spark):
     g = spark.createDataFrame([(1, 0.0, 0.0, 20_000, 20_000)], "fid int, x0 double, ytop double, width long, height long")
     with pytest.raises(Exception, match="raster too large"):
         raster.checked(g).collect()
+
+
+def test_geopackage_round_trip(spark, tmp_path):
+    import sqlite3
+
+    from gablestone.sources import gpkg
+
+    p = lambda *v: [{"x": float(x), "y": float(y)} for x, y in v]
+    ring, hole = p((0, 0), (9, 0), (9, 7), (0, 0)), p((2, 1), (3, 1), (3, 2), (2, 1))
+    rows = [(1, [ring], "a", 2.5, 7, True), (2, [ring, hole], "é 'x\"", None, None, False), (5, None, None, float(1e300), -1, None)]
+    df = spark.createDataFrame(rows, "fid long, rings array<array<struct<x: double, y: double>>>, name string, `the height` double, n int, ok boolean")
+    (tmp_path / "out").mkdir()
+    assert gpkg.write_gpkg(df.coalesce(1), str(tmp_path / "out"), "the layer", 28992, file_rows=2) == 3
+    assert sorted(f.name for f in (tmp_path / "out").iterdir()) == ["part-00000.gpkg", "part-00001.gpkg"]
+    back = gpkg.read_gpkg(spark, str(tmp_path / "out"), "the layer")
+    assert dict(back.dtypes)["the height"] == "double" and dict(back.dtypes)["ok"] == "boolean"
+    got = sorted(tuple(r) for r in back.select(*df.columns).collect())
+    assert [(r[0], r[1] and [[q.asDict() for q in x] for x in r[1]], *r[2:]) for r in got] == rows
+    assert {r.srs_id for r in back.where("rings is not null").collect()} == {28992}
+    con = sqlite3.connect(tmp_path / "out" / "part-00000.gpkg")
+    assert con.execute("PRAGMA application_id").fetchone()[0] == 0x47504B47 and con.execute("SELECT data_type, min_x, max_y FROM gpkg_contents").fetchall() == [("features", 0.0, 7.0)]
+    with pytest.raises(ValueError, match="no layer"):
+        gpkg.read_gpkg(spark, str(tmp_path / "out"), "other")
+
+
+def test_geometries_of_other_writers():
+    """Multi-polygons, big-endian bytes, heights, and kinds that are no polygons."""
+    import struct
+
+    from gablestone.sources import gpkg
+
+    head = b"GP\x00\x01" + struct.pack("<i", 4326)
+    square = [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 0.0)]
+    flat = struct.pack("<BII", 1, 3, 1) + struct.pack("<I8d", 4, *(v for q in square for v in q))
+    assert gpkg.polygons_of(head + flat) == [[square]]
+    assert gpkg.polygons_of(head + struct.pack("<BII", 1, 6, 2) + flat + flat) == [[square], [square]]
+    high = struct.pack(">BII", 0, 1003, 1) + struct.pack(">I12d", 4, *(v for q in square for v in (*q, 9.0)))
+    assert gpkg.polygons_of(head + high) == [[square]]
+    older = struct.pack("<BII", 1, 3 | 0x8000_0000, 1) + struct.pack("<I12d", 4, *(v for q in square for v in (*q, 9.0)))
+    assert gpkg.polygons_of(head + older) == [[square]]
+    assert gpkg.polygons_of(head + struct.pack("<BI2d", 1, 1, 5.0, 6.0)) == [] and gpkg.polygons_of(None) == [] and gpkg.polygons_of(b"??") == []
+    assert gpkg.polygons_of(gpkg.geometry_bytes([square, square], 1)) == [[square, square]]
