@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gablestone.llm.common import parts, read
+from gablestone.llm.common import bounded_batches, parts, read
 
 #: Pieces of text that a process remembers in each of two generations, their characters at most; and pairs of tokens.
 MEMORY, LONGEST, PAIRS = 150_000, 64, 400_000
@@ -248,6 +248,7 @@ def decoder(path: str):
 
 
 def tokenise(docs: DataFrame, text: str = "text", out: str = "tokens", path: str | None = None) -> DataFrame:
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(out, encoder(path or default_vocabulary())(F.col(text)))
 
 
@@ -271,12 +272,14 @@ def _round_trip(path: str):
 
 
 def op6_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    bounded_batches(spark)
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     return docs.select("doc_id", _round_trip(default_vocabulary())("text").alias("t")).select("doc_id", "t.n_tokens", "t.ids_sha256", "t.decoded_sha256")
 
 
 def encode_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Last stage of the pipeline: each document's tokens, and digests that show the round trip."""
+    bounded_batches(spark)
     path = default_vocabulary()
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:

@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows that a worker turns into Python objects at once. Arrow batches are bounded by bytes
-#: (spark.sql.execution.arrow.maxBytesPerBatch, 64 MB unless set), so long texts fit as well.
-BATCH_ROWS = 500
+#: Rows that a worker turns into Python objects at once, and bytes of an Arrow batch, so that long texts fit.
+BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: Bytes that a file of a gathered table should hold.
 FILE_BYTES = 32 << 20
 
@@ -20,6 +19,17 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lower the session's bound on the bytes of an Arrow batch, where it is larger.
+
+    Results are lazy, so the bound must still hold when the caller runs them; it is not put
+    back. It has no effect on results, and a caller's own smaller bound stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get(key)) > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
+
+
 def parts(batches: Iterator) -> Iterator:
     """Arrow batches, arrays or tuples of arrays, cut into such of at most ``BATCH_ROWS`` rows."""
     for b in batches:
@@ -49,6 +59,7 @@ class Scratch:
     """
 
     def __init__(self, spark: SparkSession):
+        bounded_batches(spark)
         self.spark = spark
         self.kept: list[str] = []
         #: Bytes that a gathered table may have, as far as its owner knows.

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gablestone.llm.common import parts, read
+from gablestone.llm.common import bounded_batches, parts, read
 
 #: Words that are missing or added may be so many less than all of a template's words.
 FOUND = 0.85
@@ -239,6 +239,7 @@ scan_texts = F.arrow_udf(_scan, T.ArrayType(FOUND_TYPE)).asNondeterministic()
 
 def scan(docs: DataFrame, text: str = "text", out: str = "licenses") -> DataFrame:
     """docs with an array of the blocks found in each whole text."""
+    bounded_batches(docs.sparkSession)
     return docs.withColumn(out, scan_texts(F.col(text)))
 
 

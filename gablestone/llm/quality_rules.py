@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gablestone.llm.common import first_by_hash, free_prefix, read
+from gablestone.llm.common import bounded_batches, first_by_hash, free_prefix, read
 from gablestone.llm.textstats import ratio, text_stats
 
 #: Labelled rows that are learned from, at most; chosen by a hash of doc_id.
@@ -150,6 +150,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
     The rows are those of the smallest hash of their key, so the bound on what is broadcast
     and on what reaches the driver is that parameter, whatever the size of the corpus.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(key).isNotNull() & F.col(label).isin(0, 1)).select(F.col(key).alias("_k"), F.col(label).alias("_y"))
     picked = first_by_hash(known, "_k", max_rows)
     rows = docs.select(F.col(key).alias("_k"), F.col(text).alias("_t")).join(F.broadcast(picked), "_k").withColumn(STATS, text_stats("_t"))
@@ -161,6 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_
 
 def judge(docs: DataFrame, rules: DecisionList, text: str = "text", p: str = "_") -> DataFrame:
     """docs with stats, base_failed, rule (first rule that rejects, or null) and kept, each behind the prefix ``p``."""
+    bounded_batches(docs.sparkSession)
     stats = f"{p}stats"
     out = docs.withColumn(stats, text_stats(F.col(text)))
     out = out.withColumn(f"{p}base_failed", base_failed(stats)).withColumn(f"{p}rule", rules.first_rule(features(stats)))

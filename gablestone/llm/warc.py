@@ -30,7 +30,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from gablestone.llm.common import Scratch, read
+from gablestone.llm.common import Scratch, bounded_batches, read
 
 #: Bits of an offset below the first range, bits by which each next range is wider, and bits over which rows without a place are spread.
 LEAF_BITS, STEP_BITS, LOST_BITS = 16, 4, 40
@@ -215,6 +215,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 if rows:
                     yield sent(rows)
 
+    bounded_batches(spark)
     files = spark.read.format("binaryFile").load(path).select("path", "content")
     return files.mapInArrow(parse, RECORDS)
 
