@@ -28,11 +28,23 @@ def shell(ring: Column) -> Column:
 
 @F.arrow_udf(T.ArrayType(T.ArrayType(T.IntegerType())))
 def _ears(shells: pa.Array) -> pa.Array:
-    """Vertex numbers, from 1, of the triangles of simple rings; null for rings that cross themselves."""
+    """Vertex numbers, from 1, of the triangles of counter-clockwise rings: a fan, or ears where
+    a ring is concave; null for rings that cross themselves."""
     out = []
     for v in shells.to_pylist():
-        ring = np.array([(p["x"], p["y"]) for p in [*v, v[0]]], float)
-        out.append([[a + 1, b + 1, c + 1] for a, b, c in fit.ear_clip(ring)] if fit.simple(ring) else None)
+        xy = [(p["x"], p["y"]) for p in v]
+        n = len(xy)
+        turns = [(bx - ax) * (cy - ay) - (by - ay) * (cx - ax) for (ax, ay), (bx, by), (cx, cy) in zip(xy, xy[1:] + xy[:1], xy[2:] + xy[:2])]
+        if n < 5 and min(turns) >= -1e-12:
+            out.append([[1, i, i + 1] for i in range(2, n)])
+            continue
+        ring = np.array([*xy, xy[0]], float)
+        if not fit.simple(ring):
+            out.append(None)
+        elif min(turns) >= -1e-12:
+            out.append([[1, i, i + 1] for i in range(2, n)])
+        else:
+            out.append([[a + 1, b + 1, c + 1] for a, b, c in fit.ear_clip(ring)])
     return pa.array(out, pa.list_(pa.list_(pa.int32())))
 
 
@@ -40,17 +52,14 @@ def extrude(footprints: DataFrame, height: str = "height", mode: str = "build")
     """(fid, tid, ax .. cz) of a prism over each footprint ``ring``.
 
     Two triangles a side, then one on top and one, reversed, at the bottom for each triangle
-    of the ring: 2n + 2(n - 2) for n vertices. Convex rings are fans; only the others are
-    clipped ear by ear. A ring that crosses itself has no prism.
+    of the ring: 2n + 2(n - 2) for n vertices. Convex rings are fans, others are clipped ear
+    by ear. A ring that crosses itself has no prism.
     """
     f = footprints.where(F.size("ring") > 3).select("fid", shell(F.col("ring")).alias("v"), height_or_default(F.col(height), mode).alias("h"))
     f = f.withColumn("n", F.size("v"))
     at = lambda i: F.element_at(F.col("v"), i)
     nxt = lambda i: i % F.col("n") + 1
-    turn = lambda a, b, c: (b["x"] - a["x"]) * (c["y"] - a["y"]) - (b["y"] - a["y"]) * (c["x"] - a["x"])
-    convex = F.forall(F.sequence(F.lit(1), F.col("n")), lambda i: turn(at(i), at(nxt(i)), at(nxt(nxt(i)))) >= -1e-12)
-    fan = F.transform(F.sequence(F.lit(2), F.col("n") - 1), lambda i: F.array(F.lit(1), i, i + 1))
-    f = f.where(convex).withColumn("ears", fan).unionByName(f.where(~convex).withColumn("ears", _ears("v"))).where("ears is not null")
+    f = f.withColumn("ears", _ears("v")).where("ears is not null")
     pt = lambda i, z, n: [at(i)["x"].alias(f"{n}x"), at(i)["y"].alias(f"{n}y"), z.alias(f"{n}z")]
     lo, hi = F.lit(0.0), F.col("h")
     tri = lambda tid, *p: F.struct(tid.cast("long").alias("tid"), *[c for (i, z), n in zip(p, "abc") for c in pt(i, z, n)])
