@@ -50,7 +50,7 @@ def poll_outcomes(spark, sf):
 
 
 def coalesced_updates(spark, sf):
-    return op.coalesced(_events(spark, sf), "event_type", 1_800_000)
+    return op.coalesced(_events(spark, sf), "job_id", 43_200_000)
 
 
 _E = "WITH e AS (SELECT event_id, ts, user_id AS job_id, event_type, CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in STATE.items()) + " END AS state FROM events)"
@@ -75,6 +75,6 @@ SQL = {
     "debounced_updates": f"{_E}, g AS (SELECT *, CASE WHEN ts - lag(ts) OVER w <= INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM e WINDOW w AS (PARTITION BY job_id ORDER BY ts)), r AS (SELECT *, sum(new) OVER (PARTITION BY job_id ORDER BY ts RANGE UNBOUNDED PRECEDING) AS run FROM g) SELECT job_id, min(ts) AS started, max(ts) AS ended, count(*) AS n FROM r GROUP BY job_id, run",
     "signal_counts": "SELECT date_trunc('hour', ts) AS started, event_type, count(*) AS n FROM events GROUP BY ALL",
     "poll_outcomes": f"{_E} SELECT event_id, CASE WHEN event_id % 17 = 0 THEN 'error' WHEN state = 'completed' THEN 'done' WHEN state IN ('queued', 'running') THEN 'wait' ELSE 'error' END AS outcome FROM e",
-    "coalesced_updates": _walked("event_type", "30 MINUTE", "false") + ", h AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS j FROM r) SELECT n.k AS event_type, min(ts) AS started, count(*) AS n, max(ts) AS last FROM h JOIN n ON n.k = h.k AND n.i >= h.i AND (h.j IS NULL OR n.i < h.j) GROUP BY n.k, h.i",
+    "coalesced_updates": _walked("job_id", "12 HOUR", "false") + ", h AS (SELECT k, i, lead(i) OVER (PARTITION BY k ORDER BY i) AS j FROM r) SELECT n.k AS job_id, min(ts) AS started, count(*) AS n, max(ts) AS last FROM h JOIN n ON n.k = h.k AND n.i >= h.i AND (h.j IS NULL OR n.i < h.j) GROUP BY n.k, h.i",
     "restarted_jobs": f"{_LAST} SELECT job_id, CASE WHEN state IN ('queued', 'running') THEN 'interrupted' ELSE state END AS state FROM l",
 }
