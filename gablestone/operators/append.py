@@ -55,6 +55,20 @@ def verified(manifests: DataFrame, contents: DataFrame) -> DataFrame:
     return manifests.join(have, "job_id", "left").withColumn("valid", F.coalesce(ok, F.lit(False))).drop("_bytes", "_sha")
 
 
+def assembled(chunks: DataFrame, expected: DataFrame) -> DataFrame:
+    """expected (job_id, bytes, sha256) with ``valid``: the job's chunks (job_id, seq, content)
+    follow each other without a gap from 0, and together have that size and that hash.
+
+    A job's chunks are gathered, so a job is at most what a row can hold.
+    """
+    whole = chunks.groupBy("job_id").agg(F.array_sort(F.collect_list(F.struct("seq", F.col("content").cast("binary").alias("content")))).alias("c"))
+    gapless = F.forall(F.sequence(F.lit(1), F.size("c")), lambda i: F.element_at(F.col("c"), i)["seq"] == i - 1)
+    data = F.aggregate("c", F.lit(b""), lambda s, c: F.concat(s, c["content"]))
+    have = whole.select("job_id", gapless.alias("_gapless"), F.octet_length(data).cast("long").alias("_bytes"), F.sha2(data, 256).alias("_sha"))
+    ok = F.col("_gapless") & (F.col("bytes") == F.col("_bytes")) & (F.col("sha256") == F.col("_sha"))
+    return expected.join(have, "job_id", "left").withColumn("valid", F.coalesce(ok, F.lit(False))).drop("_gapless", "_bytes", "_sha")
+
+
 def compatible(stored: Column, wanted: Column, legacy: tuple[str, ...] = ()) -> Column:
     """Whether a cache's settings serve: equal maps, or equal but for a source hash that is a known old one."""
     entries = lambda m: F.array_sort(F.map_entries(m))

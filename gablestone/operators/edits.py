@@ -93,6 +93,16 @@ def split_features(features: DataFrame, parts: DataFrame, next_fid: Column) -> D
     return deleted(features, parts).unionByName(cut.withColumn("fid", new.cast(dict(features.dtypes)["fid"])).select(*features.columns))
 
 
+def inserted(features: DataFrame, new: DataFrame, affected: DataFrame, heights: DataFrame, column: str = "height") -> DataFrame:
+    """features with new ones, and with heights taken anew where an insertion has moved borders.
+
+    ``affected`` names the features that were snapped, the new ones among them; ``heights``
+    is (fid, roof_z), null where none could be found: the height then stays as it was.
+    """
+    touched = affected.select("fid").distinct().join(heights.select("fid", "roof_z"), "fid")
+    return features.unionByName(new).join(touched, "fid", "left").withColumn(column, F.coalesce("roof_z", column)).drop("roof_z")
+
+
 def import_result(layer: Layer, result: DataFrame, manifest: DataFrame, imported: DataFrame, expected: list[tuple[str, str]], key: str = "fid") -> int:
     """Append a job's rows to a layer, all or none.
 

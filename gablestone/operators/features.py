@@ -163,3 +163,34 @@ def first_edge(queries: DataFrame, footprints: DataFrame, tolerance: float) -> D
     d = F.hypot(F.col("qx") - F.col("x") - t * ex, F.col("qy") - F.col("y") - t * ey)
     best = near_boxes(queries, boxes, tolerance).withColumn("d", d).where(F.col("d") < tolerance).groupBy("qid").agg(F.min(F.struct("fid", "d")).alias("b"))
     return best.select("qid", "b.fid.fid", F.col("b.fid.i").alias("edge"), "b.d")
+
+
+def first_in_box(df: DataFrame, x0: float, y0: float, x1: float, y1: float) -> DataFrame:
+    """The one row of the smallest fid whose bounds meet the box, or none."""
+    return in_box(df, x0, y0, x1, y1).orderBy("fid").limit(1)
+
+
+def sides(polygons: DataFrame) -> DataFrame:
+    """(fid, edge, ax, ay, bx, by): the sides of the polygons' shells, numbered from 0."""
+    at = lambda i: F.element_at(F.element_at("rings", 1), i)
+    one = F.transform(F.sequence(F.lit(1), F.size(F.element_at("rings", 1)) - 1), lambda i: F.struct((i - 1).alias("edge"), at(i)["x"].alias("ax"), at(i)["y"].alias("ay"), at(i + 1)["x"].alias("bx"), at(i + 1)["y"].alias("by")))
+    return polygons.where(F.size(F.element_at("rings", 1)) > 1).select("fid", F.explode(one).alias("s")).select("fid", "s.*")
+
+
+def contacts(polygons: DataFrame, slack: float = 1e-6, cell: float = 16.0) -> DataFrame:
+    """(fid, edge, contacts): where other shells' vertices touch a shell's sides.
+
+    ``contacts`` are (t, x, y, other), sorted along the side: t is 0 at its first end and 1 at
+    its second. Sides go to the cells that their bounds meet, vertices to their own.
+    """
+    e = sides(polygons)
+    over = lambda a, b: F.explode(F.sequence(F.floor((F.least(a, b) - slack) / cell), F.floor((F.greatest(a, b) + slack) / cell)))
+    dealt = e.withColumn("_cx", over("ax", "bx")).withColumn("_cy", over("ay", "by"))
+    v = e.select(F.col("fid").alias("other"), F.col("ax").alias("x"), F.col("ay").alias("y")).distinct()
+    v = v.withColumn("_cx", F.floor(F.col("x") / cell)).withColumn("_cy", F.floor(F.col("y") / cell))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    t = ((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy) / (dx * dx + dy * dy)
+    off = F.abs((F.col("x") - F.col("ax")) * dy - (F.col("y") - F.col("ay")) * dx) / F.sqrt(dx * dx + dy * dy)
+    near = slack / F.sqrt(dx * dx + dy * dy)
+    met = dealt.where("ax <> bx or ay <> by").join(v, ["_cx", "_cy"]).where((F.col("fid") != F.col("other")) & (off <= slack) & (t >= -near) & (t <= 1 + near))
+    return met.groupBy("fid", "edge").agg(F.array_sort(F.collect_set(F.struct(t.alias("t"), "x", "y", "other"))).alias("contacts"))

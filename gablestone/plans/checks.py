@@ -1,15 +1,17 @@
-"""Queries on checks, reference systems and wireframes."""
+"""Queries on checks, reference systems, wireframes, contacts and insertions."""
 
 from __future__ import annotations
 
 import math
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from gablestone.functions import projections as pr
+from gablestone.operators import append, edits, elevation, features, mesh, wireframes
 from gablestone.operators import checks as op
-from gablestone.operators import mesh, wireframes
-from gablestone.sources.derived import PLACED, POINTS, placed, points, rings, table
+from gablestone.plans.elevation import ROOF
+from gablestone.sources.derived import PLACED, POINTS, buildings, placed, points, rings, table
 
 
 def _pick(k, *values):
@@ -71,6 +73,35 @@ def voxel_labels(spark, sf):
     return out.groupBy("fid").agg(F.count("*").alias("n"), F.count("label").alias("labelled"), F.sum("label").alias("label_sum"))
 
 
+def first_in_box(spark, sf):
+    return features.first_in_box(placed(spark, sf), 100.0, 5.0, 300.0, 40.0).select("fid", "height")
+
+
+def border_contacts(spark, sf):
+    """Rows of footprints that fill the plane, every second row shifted, touch each other's sides."""
+    shift = F.floor(F.col("y0") / 16) % 2 * 4.0
+    wide = placed(spark, sf).select("fid", (F.col("x0") + shift).alias("x0"), "y0", (F.col("x0") + 16 + shift).alias("x1"), (F.col("y0") + 16).alias("y1"))
+    met = features.contacts(rings(wide).select("fid", F.array("ring").alias("rings")))
+    return met.select("fid", F.col("edge").cast("int").alias("edge"), F.posexplode("contacts").alias("i", "c")).select("fid", "edge", "i", F.round("c.t", 6).alias("t"), "c.x", "c.y", "c.other")
+
+
+def inserted_features(spark, sf):
+    b = placed(spark, sf).select("fid", "height")
+    heights = elevation.roof_elevation(points(spark, sf), buildings(spark, sf))
+    out = edits.inserted(b.where("fid % 10 <> 0"), b.where("fid % 10 = 0"), b.where("fid % 10 in (0, 1, 9)"), heights)
+    return out.select("fid", F.round("height", 6).alias("height"))
+
+
+def upload_check(spark, sf):
+    """Suppliers' names as the chunks of an upload for each nation; some lack a chunk, some tell another size."""
+    s = table(spark, sf, "supplier").select(F.col("s_nationkey").alias("job_id"), F.col("s_name").alias("content"), "s_suppkey")
+    seq = F.row_number().over(Window.partitionBy("job_id").orderBy("s_suppkey")) - 1
+    chunks = s.withColumn("seq", seq).where("not (job_id % 5 = 2 and seq = 0)").select("job_id", "seq", "content")
+    told = s.groupBy("job_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("s_suppkey", "content"))), lambda c: c["content"]), "").alias("all"))
+    expected = told.select("job_id", (F.octet_length("all") + (F.col("job_id") % 7 == 3).cast("int")).cast("long").alias("bytes"), F.sha2(F.col("all").cast("binary"), 256).alias("sha256"))
+    return append.assembled(chunks, expected).select("job_id", "bytes", "sha256", "valid")
+
+
 def _sql_series(kind: str, coefficients, a: str, b: str) -> str:
     f, g = ("cos", "sinh") if kind == "x" else ("sin", "cosh")
     return " + ".join(f"({c!r}::DOUBLE) * {f}({2 * j} * {a}) * {g}({2 * j} * {b})" for j, c in enumerate(coefficients, 1))
@@ -81,8 +112,16 @@ _R0 = f"({pr.A!r} * sqrt(1 - {pr.E2!r}::DOUBLE) / (1 - {pr.E2!r}::DOUBLE * sin(r
 _XYZ = lambda lon, lat: (f"n{{0}}*cos(radians({lat}))*cos(radians({lon}))", f"n{{0}}*cos(radians({lat}))*sin(radians({lon}))", f"n{{0}}*(1-{pr.E2!r}::DOUBLE)*sin(radians({lat}))")
 _FROM = "SELECT s_suppkey AS k FROM supplier"
 
-QUERIES = {f.__name__: f for f in (candidate_layers, metric_planes, run_options, projected_points, local_places, wireframe_lines, voxel_labels)}
+QUERIES = {f.__name__: f for f in (candidate_layers, metric_planes, run_options, projected_points, local_places, wireframe_lines, voxel_labels, first_in_box, border_contacts, inserted_features, upload_check)}
 SQL = {
+    "first_in_box": f"WITH {PLACED} SELECT fid, height FROM placed WHERE x0 <= 300 AND x1 >= 100 AND y0 <= 40 AND y1 >= 5 ORDER BY fid LIMIT 1",
+    "border_contacts": f"""WITH {PLACED}, w AS (SELECT fid, x0 + (y0 // 16) % 2 * 4.0 AS x0, y0, x0 + 16 + (y0 // 16) % 2 * 4.0 AS x1, y0 + 16 AS y1 FROM placed),
+v AS (SELECT fid, unnest([0, 1, 2, 3]) AS edge, unnest([x0, x1, x1, x0]) AS ax, unnest([y0, y0, y1, y1]) AS ay, unnest([x1, x1, x0, x0]) AS bx, unnest([y0, y1, y1, y0]) AS b_y FROM w),
+c AS (SELECT e.fid, e.edge, p.fid AS other, p.ax AS x, p.ay AS y, ((p.ax-e.ax)*(e.bx-e.ax) + (p.ay-e.ay)*(e.b_y-e.ay)) / 256.0 AS t FROM v e JOIN v p ON p.fid <> e.fid AND p.ax BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx) AND p.ay BETWEEN least(e.ay, e.b_y) AND greatest(e.ay, e.b_y))
+SELECT fid, edge, CAST(row_number() OVER (PARTITION BY fid, edge ORDER BY t, x, y, other) - 1 AS INTEGER) AS i, round(t, 6)::DOUBLE AS t, x::DOUBLE AS x, y::DOUBLE AS y, other FROM c""",
+    "inserted_features": f"{ROOF}, {PLACED} SELECT fid, round(CASE WHEN fid % 10 IN (0, 1, 9) THEN coalesce(roof_z, height) ELSE height END, 6) AS height FROM placed LEFT JOIN found USING (fid)",
+    "upload_check": """SELECT s_nationkey AS job_id, CAST(octet_length(encode(string_agg(s_name, '' ORDER BY s_suppkey))) + CASE WHEN s_nationkey % 7 = 3 THEN 1 ELSE 0 END AS BIGINT) AS bytes, sha256(string_agg(s_name, '' ORDER BY s_suppkey)) AS sha256,
+  s_nationkey % 7 <> 3 AND s_nationkey % 5 <> 2 AS valid FROM supplier GROUP BY s_nationkey""",
     "wireframe_lines": f"""WITH {PLACED}, h AS (SELECT *, CASE WHEN height > 0 THEN height ELSE CAST(3 AS DOUBLE) END AS h FROM placed)
 SELECT fid, 'edge' AS kind, CAST(12 AS BIGINT) AS n, round(4 * (x1 - x0) + 4 * (y1 - y0) + 4 * h, 6) AS length_m FROM h""",
     "voxel_labels": f"""WITH {POINTS}, v AS (SELECT fid, floor(x / 0.5) AS vx, floor(y / 0.5) AS vy, floor(z / 0.5) AS vz FROM points), l AS (SELECT vx, vy, vz, min(fid) AS label FROM v WHERE fid % 2 = 0 GROUP BY ALL)
