@@ -18,7 +18,7 @@ from conftest import SMALL, TINY
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from gablestone.llm import components, language_id, near_dups, sharding, superminhash, warc, wrappers
+from gablestone.llm import bpe, components, decontaminate, language_id, licenses, near_dups, quality_classifier, quality_rules, sharding, superminhash, warc, wrappers
 from gablestone.llm.common import Scratch, read
 from gablestone.llm.queries import ORACLE_SQL
 
@@ -525,6 +525,36 @@ def test_broken_files_are_findings(spark, tmp_path, monkeypatch):
     assert got == {(7, "no record"), (n, None)}
 
 
+# --- very long texts ------------------------------------------------------------------------
+
+
+def test_the_end_of_a_very_long_text_counts(spark):
+    """Five million characters: what stands at the very end is found, counted and encoded."""
+    rng = random.Random(9)
+    body = " ".join(f"word{rng.randrange(10**6)} and" for _ in range(350_000))
+    end = " one two three four five six seven eight nine ten. Released under the MIT License."
+    rows = [(1, body + end, "en", "s"), (2, body + end, "en", "s"), (3, body, "en", "s"), (4, "short text", "en", "s")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").withColumn("kept", F.lit("mine")).withColumn("licenses", F.lit(1)).withColumn("hits", F.lit(2)).withColumn("tokens", F.lit(3))
+    found = {r.doc_id: [x.license for x in r.found] for r in licenses.scan(df, out="found").collect()}
+    assert found == {1: ["MIT"], 2: ["MIT"], 3: [], 4: []}
+    bench = spark.createDataFrame([("a", "five six seven eight nine ten released under the mit")], "item_id string, text string")
+    for block in (10, 0):
+        got = {r.doc_id: (r.h.n_words, r.h.starts) for r in decontaminate.find(df, bench, out="h", block_windows=block).collect()}
+        assert got == {1: (700_015, [700_004]), 2: (700_015, [700_004]), 3: (700_000, []), 4: (2, [])}
+    same = {r.id: r.component for r in near_dups.NearDuplicates(df).result().collect()}
+    assert same == {1: 1, 2: 1, 3: 1, 4: 4}
+    stats = {r.doc_id: r.n for r in quality_rules.judge(df, quality_rules.DecisionList([])).select("doc_id", F.col("_stats.n_words").alias("n")).collect()}
+    assert stats == {1: 700_015, 2: 700_015, 3: 700_000, 4: 2}
+    coded = bpe.tokenise(df, out="t").select("doc_id", "text", bpe.decoder(bpe.default_vocabulary())("t.ids").alias("back")).collect()
+    assert all(r.text == r.back for r in coded)
+    model = language_id.fit(read(spark, TINY, "documents"), "doc_id", "text", "lang")
+    assert {r.doc_id: r._letters for r in language_id.identify(df, model=model, p="_", carry=["doc_id"]).collect()} == {i: sum(c.isalpha() for c in t) for i, t, *_ in rows}
+    scored = quality_classifier.classify(df, read(spark, TINY, "labels")).collect()
+    assert len(scored) == 4 and scored[0].score == scored[1].score
+    placed = sharding.interleave(df.select("doc_id", "source", F.length("text").alias("size")), "source", [F.col("doc_id")], shards=2)
+    assert sorted(r["count"] for r in placed.groupBy("shard").count().collect()) == [2, 2]
+
+
 # --- pipeline -----------------------------------------------------------------------------
 
 
