@@ -6,8 +6,11 @@ whole. Nothing is changed in place, so an edit that fails or is rolled back leav
 
 from __future__ import annotations
 
+import hashlib
+import json
 import re
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +77,36 @@ class Layer:
         return found[-2]
 
 
+class Derived:
+    """Results computed from a layer, kept as long as the layer and the settings are the same.
+
+    A result lies under a digest of its name, the layer's version and all settings (source,
+    subset, reference system and the like), so a changed one is never read. ``guard`` is for
+    work that takes long: its result is kept only if the layer hasn't moved on meanwhile.
+    """
+
+    def __init__(self, layer: Layer, folder: str):
+        self.layer, self.folder = layer, folder.rstrip("/")
+
+    def path(self, name: str, version: int, settings: dict) -> str:
+        said = json.dumps([name, version, settings], sort_keys=True, default=str)
+        return f"{self.folder}/{name}-{hashlib.sha256(said.encode()).hexdigest()[:24]}"
+
+    def get(self, name: str, settings: dict, build: Callable[[DataFrame], DataFrame], guard: bool = True) -> DataFrame:
+        version = self.layer.versions()[-1]
+        path = self.path(name, version, settings)
+        fs, p = self.layer._fs(path)
+        if not fs.exists(p):
+            staged = f"{path}.{uuid.uuid4().hex}"
+            build(self.layer.read(version)).write.parquet(staged)
+            moved_on = guard and self.layer.versions()[-1] != version
+            if moved_on or not fs.rename(self.layer._fs(staged)[1], p):
+                fs.delete(self.layer._fs(staged)[1], True)
+                if moved_on:
+                    raise ValueError(f"the layer is no longer at version {version}: its result is not kept")
+        return self.layer.spark.read.parquet(path)
+
+
 def set_height(features: DataFrame, selected: DataFrame, value: float, column: str = "height") -> DataFrame:
     """The value for all selected features."""
     s = selected.select("fid").distinct().withColumn("_s", F.lit(True))

@@ -69,3 +69,40 @@ def test_covered_segments(spark):
     rows = [(1, 0, 0.0, 3.0, ring(0, 0, 10, 10)), (1, 1, 5.0, 6.0, ring(0, 0, 10, 6)), (1, 2, 3.2, 4.0, ring(0, 0, 10, 10)), (2, 0, 0.0, 1.0, ring(0, 0, 4, 4))]
     s = spark.createDataFrame(rows, "fid long, segment long, min_z double, max_z double, ring array<struct<x: double, y: double>>")
     assert {(r.fid, r.segment) for r in polygons.covered_segments(s).collect()} == {(1, 0), (1, 2)}
+
+
+def test_results_follow_the_layer_and_the_settings(spark, tmp_path):
+    layer = edits.Layer(spark, str(tmp_path / "layer"))
+    layer.save(spark.range(3).withColumnRenamed("id", "fid"))
+    kept, runs = edits.Derived(layer, str(tmp_path / "kept")), []
+
+    def build(df):
+        runs.append(1)
+        return df.groupBy().count()
+
+    get = lambda **how: kept.get("count", how, build).first()[0]
+    assert [get(crs="a"), get(crs="a"), get(crs="b")] == [3, 3, 3] and len(runs) == 2
+    layer.save(spark.range(5).withColumnRenamed("id", "fid"))
+    assert get(crs="a") == 5 and len(runs) == 3
+
+    def slow(df):
+        layer.save(spark.range(7).withColumnRenamed("id", "fid"))
+        return df.groupBy().count()
+
+    with pytest.raises(ValueError, match="no longer at version 2"):
+        kept.get("other", {}, slow)
+    assert kept.get("other", {}, lambda df: df.groupBy().count()).first()[0] == 7
+
+
+def test_a_claimed_number_is_published_once(spark, tmp_path):
+    layer = edits.Layer(spark, str(tmp_path / "layer"))
+    rows = spark.range(2)
+    assert layer.save(rows) == 1
+    fs, claim = layer._fs(f"{layer.path}/.claim-2")
+    fs.create(claim, False).close()
+    with pytest.raises(ValueError, match="release"):
+        layer.save(rows, based_on=1)
+    layer.release(2)
+    assert layer.save(rows, based_on=1) == 2 and layer.undo() == 1 and layer.save(rows) == 2
+    with pytest.raises(ValueError, match="published"):
+        layer.release(2)
