@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from gablestone.operators import mesh, polygons as op, raster
+from gablestone.operators import append, mesh, polygons as op, raster
 from gablestone.operators.attributes import TYPES
 from gablestone.sources.derived import PLACED, POINTS, placed, points, rings
 
@@ -36,6 +36,20 @@ def fitted_footprints(spark, sf):
     return out.select("fid", "reason", "v_old", "v_new", "holes_filled", F.round("area_m2", 3).alias("area_m2"))
 
 
+def _fits(spark, sf):
+    out = op.fitted(_noisy(spark, sf))
+    return out.select("fid", (F.col("reason") == "fitted").cast("int").alias("fit_done"), "area_m2", "v_old", "v_new", (F.size("rings") - 1).alias("holes"), "attempt_reasons")
+
+
+def fitted_summary(spark, sf):
+    """Counts, areas and vertices over what fitting gave."""
+    return append.summary(_fits(spark, sf)).withColumn("area_m2", F.round("area_m2", 3))
+
+
+def fitted_reasons(spark, sf):
+    return append.reason_histogram(_fits(spark, sf))
+
+
 def polygonized_masks(spark, sf):
     p = points(spark, sf)
     g = raster.grids(p, R)
@@ -99,7 +113,7 @@ def mask_cells(spark, sf):
     return m.groupBy("fid").agg(F.round(F.count("*") * F.lit(R * R), 6).alias("area_m2"))
 
 
-QUERIES = {f.__name__: f for f in (convex_hulls, fitted_footprints, polygonized_masks, footprint_overlaps, ear_triangles, roof_segments, roof_surfaces, split_footprints, snapped_footprints, accuracy_evaluation, mask_cells)}
+QUERIES = {f.__name__: f for f in (convex_hulls, fitted_footprints, fitted_summary, fitted_reasons, polygonized_masks, footprint_overlaps, ear_triangles, roof_segments, roof_surfaces, split_footprints, snapped_footprints, accuracy_evaluation, mask_cells)}
 SQL = {
     "footprint_overlaps": f"WITH {PLACED}, w AS (SELECT fid, x0, y0, x1 + 7 AS x1, y1 + 9 AS y1 FROM placed) SELECT a.fid AS a, b.fid AS b, round((least(a.x1, b.x1) - greatest(a.x0, b.x0)) * (least(a.y1, b.y1) - greatest(a.y0, b.y0)), 6) AS area_m2 FROM w a JOIN w b ON a.fid < b.fid AND least(a.x1, b.x1) > greatest(a.x0, b.x0) AND least(a.y1, b.y1) > greatest(a.y0, b.y0)",
     "split_footprints": f"WITH {PLACED}, c AS (SELECT fid, (x1-x0)*(y1-y0) AS whole, (1 + fid % 8 + 1 + fid % 5) / 2.0::DOUBLE * (y1-y0) AS cut, fid % 11 = 0 AS aside FROM placed) SELECT fid, CASE WHEN aside THEN 1 ELSE 2 END::BIGINT AS parts, round(whole, 6) AS area_m2, round(CASE WHEN aside THEN whole ELSE least(cut, whole - cut) END, 6) AS least_m2 FROM c",

@@ -40,4 +40,14 @@ def test_same_rows_as_sql(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_beyond_it():
-    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"convex_hulls", "fitted_footprints", "polygonized_masks", "ear_triangles", "roof_segments", "accuracy_evaluation"}
+    assert set(catalog.QUERIES) - set(catalog.ORACLE_SQL) == {"convex_hulls", "fitted_footprints", "fitted_summary", "fitted_reasons", "polygonized_masks", "ear_triangles", "roof_segments", "accuracy_evaluation"}
+
+
+def test_summaries_add_up(spark):
+    """The summary and the reasons are those of the fitted footprints themselves."""
+    rows = catalog.QUERIES["fitted_footprints"](spark, TINY).collect()
+    got = catalog.QUERIES["fitted_summary"](spark, TINY).first()
+    assert (got.buildings, got.fitted, got.vertices_before, got.vertices_after) == (len(rows), sum(r.reason == "fitted" for r in rows), sum(r.v_old for r in rows), sum(r.v_new for r in rows))
+    assert got.area_m2 == pytest.approx(sum(r.area_m2 for r in rows), abs=0.01) and got.vertices_after < got.vertices_before
+    reasons = {r.reason: r.n for r in catalog.QUERIES["fitted_reasons"](spark, TINY).collect()}
+    assert sum(reasons.values()) >= len(rows)
